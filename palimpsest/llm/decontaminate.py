@@ -18,13 +18,13 @@ listed; equal items are listed by each id; rows that repeat give equal rows; emp
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from palimpsest.llm.common import bounded_batches, materialize
 
@@ -123,15 +123,15 @@ def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES):
             yield rows
 
 
+_SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 _STATE = "n_words long, spans array<struct<a:int,b:int>>, items array<string>"
 
 
 def find_hits(docs: DataFrame, items: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, text, n_words, spans (disjoint [a, b) in words, in order), items (ids with occurring windows, sorted) of each document."""
+    """row (a struct of docs' columns), text, n_words, spans (disjoint [a, b) in words, in order), items (ids with occurring windows, sorted)."""
     bounded_batches(docs.sparkSession)
-    state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(None).cast("array<struct<a:int,b:int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
-    spans_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("spans", spans_type), ("items", pa.list_(pa.string()))])
+    state = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"), F.lit(None).cast("array<struct<a:int,b:int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
+    out = StructType([state.schema["row"], state.schema["text"], *StructType.fromDDL(_STATE).fields])
     blocks = item_blocks(items, block_bytes)
     rows, more = next(blocks, []), True
     while more:
@@ -149,22 +149,23 @@ def find_hits(docs: DataFrame, items: DataFrame, width: int = WIDTH, block_bytes
                     counts.append(len(words))
                     spans.append([{"a": x, "b": y} for x, y in found])
                     ids.append(sorted({i for i in items if i is not None} | set(old_items or ())))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(counts, pa.int64()), pa.array(spans, spans_type), pa.array(ids, pa.list_(pa.string()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("text"), pa.array(counts, pa.int64()), pa.array(spans, _SPANS), pa.array(ids, pa.list_(pa.string()))], names=["row", "text", "n_words", "spans", "items"])
 
-        state = state.select("doc_id", "text", "spans", "items").mapInArrow(run, f"doc_id long, text string, {_STATE}")
+        state = state.select("row", "text", "spans", "items").mapInArrow(run, out)
         more = following is not None
         if more:
             state, rows = materialize(state, "hits"), following
     return state
 
 
-def digest(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(ids).encode()).hexdigest()
-
-
 def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hit_spans."""
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
-    return find_hits(docs, items, width, block_bytes).select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated")
+    return find_hits(docs.select("doc_id", "text"), items, width, block_bytes).select(
+        "row.doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated")
     )
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, with their columns, in which no window occurs."""
+    return find_hits(docs, items, width, block_bytes).filter(F.size("spans") == 0).select("row.*")

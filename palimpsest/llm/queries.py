@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import decontaminate, simhash
+from palimpsest.llm import decontaminate, mixing, simhash, tokens, toxicity
 from palimpsest.llm.common import documents
 
 
@@ -16,7 +16,19 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {"op4_simhash": op4_simhash, "op9_decontaminate": op9_decontaminate}
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.tokenise(documents(spark, sf_dir), tokens.default_tokenizer())
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.document_rates(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {"op4_simhash": op4_simhash, "op5_tokens": op5_tokens, "op8_toxicity": op8_toxicity, "op9_decontaminate": op9_decontaminate, "op10_mixing": op10_mixing}
 
 OP9_SQL = r"""
 WITH iw AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

@@ -23,7 +23,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import batch, bounded_batches, materialize
@@ -64,16 +64,16 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+    """doc_id, text_hash (64 bits), fp (the fingerprint as a signed long)."""
     bounded_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
 
     def run(batches):
         for b in batches:
-            fps = np.fromiter((fingerprint(t, width) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
-            yield batch(schema, doc_id=b.column(0).cast(pa.int64()), fp=fps.view(np.int64))
+            fps = np.fromiter((fingerprint(t, width) for t in b.column("text").to_pylist()), np.uint64, b.num_rows)
+            yield batch(schema, doc_id=b.column("doc_id"), text_hash=b.column("text_hash"), fp=fps.view(np.int64))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 # --- the index over one set of search spaces -------------------------------------------------------------------------
@@ -265,12 +265,27 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, limit: int = LIMIT) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable by links)."""
+    return _grouped(docs, width, radius, limit).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, limit: int = LIMIT) -> DataFrame:
+    """Of the rows of docs, with their columns, one for each component: the one with the smallest doc_id (a null only where all are), then text hash."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = _grouped(docs, width, radius, limit).groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.doc_id").alias("id"), F.col("x.text_hash").alias("hash"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    rows = rows.join(first, rows.doc_id.eqNullSafe(first.id) & (rows.text_hash == first.hash), "left_semi")
+    one = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("doc_id"))
+    return rows.withColumn("n", one).filter("n = 1").select("row.*")
+
+
+def _grouped(docs: DataFrame, width: int, radius: int, limit: int) -> DataFrame:
+    """doc_id, text_hash, fp, root (the least fingerprint of the component), component_id."""
     fps = materialize(fingerprints(docs, width), "fingerprints")
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct_fingerprints")
     roots = components(local_links(distinct, radius, limit))
     nodes = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
     named = distinct.join(nodes, distinct.fp == nodes.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id")).select(F.bitwise_not("root").alias("nr"), "component_id")
-    of = named.join(ids, F.bitwise_not(named.root) == ids.nr).select(F.bitwise_not("fp").alias("nf"), "component_id")
+    of = named.join(ids, F.bitwise_not(named.root) == ids.nr).select(F.bitwise_not("fp").alias("nf"), "root", "component_id")
     of = materialize(of, "component_of_fingerprint")
-    return fps.join(of, F.bitwise_not(fps.fp) == of.nf).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(of, F.bitwise_not(fps.fp) == of.nf).select("doc_id", "text_hash", "fp", "root", "component_id")
