@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import decontaminate, language, mixing, quality, simhash, tokens, toxicity, warc
+from palimpsest.llm import decontaminate, language, licenses, mixing, quality, simhash, surrogates, tokens, toxicity, warc
 from palimpsest.llm.common import documents
 
 
@@ -12,6 +12,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.learn_and_identify(documents(spark, sf_dir))
 
@@ -28,6 +32,10 @@ def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.tokenise(documents(spark, sf_dir), tokens.default_tokenizer())
 
 
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_all(documents(spark, sf_dir))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.evaluate(documents(spark, sf_dir)).drop("kept_chars")
 
@@ -42,9 +50,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_licenses": op2_licenses,
     "op3_language": op3_language,
     "op4_simhash": op4_simhash,
     "op5_tokens": op5_tokens,
+    "op6_surrogates": op6_surrogates,
     "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
@@ -97,4 +107,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     .replace("$BOIL$", "'" + quality.BOILERPLATE + "'")
 )
 
-SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op7_quality": OP7_SQL, "op9_decontaminate": OP9_SQL}
+SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op2_licenses": licenses.sql(), "op7_quality": OP7_SQL, "op9_decontaminate": OP9_SQL}
