@@ -99,6 +99,7 @@ def decode_block(block: bytes) -> tuple[list[int | None], list[np.ndarray]]:
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _cut = re.compile(rf"[ \n]?[{_LETTERS}]+(?=[\x00-\x40\x5b-\x60\x7b-\x7f]|\Z)|[ \n]?[^ \n]+|[ \n]").findall
+_plain = re.compile(rf" [{_LETTERS}]+").fullmatch
 _uncut = re.compile(r"\s\s|[^\S \n]|<\|").search
 
 
@@ -111,29 +112,59 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(json)
         self.kind = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         self.cache: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Whether an id's token begins with a space (as byte-level tokens write it).
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
 
     def _bytes(self, ids) -> bytes:
         return np.array(ids, dtype=self.kind).tobytes()
 
+    def _solve(self, pieces: list[str]) -> None:
+        """Encode distinct pieces into the cache. Plain ones, a space and letters, go in one text: only their first tokens begin with a space."""
+        cache, width = self.cache, np.dtype(self.kind).itemsize
+        plain, rest = [], []
+        for x in pieces:
+            (plain if _plain(x) else rest).append(x)
+        for at in range(0, len(plain), 4096):
+            part = plain[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype=self.kind)
+            edges = (np.flatnonzero(self.spaced[ids]) * width).tolist()
+            data = ids.tobytes()
+            edges.append(len(data))
+            if len(edges) != len(part) + 1:
+                raise ValueError("this tokenizer does not cut words at spaces")
+            cache.update(zip(part, [data[i:j] for i, j in zip(edges, edges[1:])]))
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            edges = (width * np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1))).tolist()
+            data = self._bytes(e.ids)
+            cache.update(zip(part, [data[i:j] for i, j in zip(edges, edges[1:])]))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.cache) > CACHE_PIECES:
             self.cache.clear()
-        cache, width = self.cache, np.dtype(self.kind).itemsize
+        cache, get = self.cache, self.cache.get
         cuts = [None if _uncut(t) else _cut(t) for t in texts]
         new: set[str] = set()
+        parts: list[list | None] = []
         for c in cuts:
-            if c:
-                new.update([x for x in c if x not in cache])
-        pieces = list(new)
-        for at in range(0, len(pieces), 4096):
-            part = pieces[at : at + 4096]
-            e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            edges = (width * np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1))).tolist()
-            data = self._bytes(e.ids)
-            cache.update((x, data[edges[i] : edges[i + 1]]) for i, x in enumerate(part))
-        get = cache.__getitem__
+            p = None if c is None else list(map(get, c))
+            if p is not None and None in p:
+                new.update([x for x, y in zip(c, p) if y is None])
+            parts.append(p)
+        self._solve(list(new))
         whole = iter(self.tokenizer.encode_batch([t for t, c in zip(texts, cuts) if c is None], add_special_tokens=False))
-        return [np.frombuffer(self._bytes(next(whole).ids) if c is None else b"".join(map(get, c)), self.kind) for c in cuts]
+        out = []
+        for c, p in zip(cuts, parts):
+            if c is None:
+                out.append(np.frombuffer(self._bytes(next(whole).ids), self.kind))
+                continue
+            if None in p:
+                p = [cache[x] if y is None else y for x, y in zip(c, p)]
+            out.append(np.frombuffer(b"".join(p), self.kind))
+        return out
 
 
 _encoders: dict[int, Encoder] = {}
