@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,9 +123,6 @@ def chunks(docs: DataFrame, size: int = 400, overlap: int = 40, key: str = "doc_
     """key, index, byte_start, byte_end, chunk: pieces of at most size bytes that end with a token, each beginning with a token about overlap bytes before the last end."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be smaller than size")
-    import pandas as pd
-    import regex
-
     token = regex.compile(r"[\p{L}\p{N}_]+(?:['-][\p{L}\p{N}_]+)*")
 
     def cut(value: str) -> list[tuple]:
