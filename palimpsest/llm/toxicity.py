@@ -4,9 +4,9 @@ The categories stand in order (by default: low quality, then toxic). Each is a l
 selected words and on the probabilities of the categories before it. A later model is trained with out-of-fold probabilities of the earlier ones, so
 that it sees them as they will be on new text; the models that predict are fitted on all rows of the sample.
 
-Fit: on a bounded sample, ``sample_rows`` labelled documents as chosen by a hash of doc_id. Of documents that share the least hash of their
-3-word shingles one is used, so that copies do not count as evidence. The words are those with the highest chi-square for a category, by
-counts over the whole sample. The threshold of the last category is the one of the best F1 on its out-of-fold probabilities.
+Fit: on a bounded sample, ``sample_rows`` labelled documents as chosen by a hash of doc_id. Of documents that share one of a few least
+hashes of 3-word shingles one is used, so that copies and their labels do not count as evidence several times. The words are those with the highest chi-square for a category, by
+counts over the whole sample, and beyond chance. The threshold of the last category is the one of the best F1 on its out-of-fold probabilities.
 Prediction covers the whole text of every document and needs no shuffle.
 
 Defined results: a null or wordless text has the probabilities of a document without any known word and is never toxic; repeated rows get
@@ -27,10 +27,14 @@ from palimpsest.llm.common import bounded_batches, materialize
 
 #: Name of the category, the column of the labels and the value that stands for it.
 CATEGORIES = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
-SAMPLE_ROWS = 10_000
+SAMPLE_ROWS = 20_000
 WORDS_PER_CATEGORY = 1500
+#: The least chi-square of a selected word: far beyond chance for one word, so that few words of a vocabulary pass by chance.
+LEAST_CHI_SQUARE = 20.0
 LEAST_DOCUMENTS = 5
 FOLDS = 4
+#: Documents that share any of so many sketches are copies to the fit.
+SKETCHES = 6
 STEPS = 120
 RIDGE = 1e-4
 
@@ -41,10 +45,11 @@ def word_set(text: str | None) -> set[str]:
     return set(_words(text.lower())) if text else set()
 
 
-def _sketch(text: str | None) -> int:
+def _sketches(text: str | None) -> list[int]:
+    """The least hash of the text's 3-word shingles by each of SKETCHES orders."""
     words = text.lower().split() if text else []
-    grams = {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
-    return min((xxhash.xxh64_intdigest(g) for g in grams), default=0) >> 1
+    hashes = np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))], np.uint64)
+    return [int((hashes * np.uint64(2 * k + 1) ^ np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))).min() >> np.uint64(1)) for k in range(SKETCHES)]
 
 
 class Linear:
@@ -64,7 +69,7 @@ class Linear:
         second = [0.0, 0.0, 0.0]
         for t in range(1, STEPS + 1):
             err = (1 / (1 + np.exp(-np.clip(self.logits(flat, row, dense), -30, 30))) - y) / n
-            grads = [np.bincount(flat, weights=err[row], minlength=len(self.w)) + RIDGE * self.w / 10, dense.T @ err + RIDGE * self.u, err.sum()]
+            grads = [np.bincount(flat, weights=err[row], minlength=len(self.w)) + RIDGE * self.w, dense.T @ err + RIDGE * self.u, err.sum()]
             steps = []
             for i, g in enumerate(grads):
                 moment[i] = 0.9 * moment[i] + 0.1 * g
@@ -136,21 +141,24 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample_rows:
         return None
     draw = F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample_rows / total))
     chosen = usable.filter(draw).groupBy("_id").agg(*[F.max(F.col(f"_l{i}") == F.lit(v)).cast("int").alias(f"_y{i}") for i, (_, _, v) in enumerate(categories)])
-    schema = "doc_id long, sketch long, words array<string>, " + ", ".join(f"_y{i} int" for i in range(len(categories)))
+    schema = "doc_id long, sketches array<long>, words array<string>, " + ", ".join(f"_y{i} int" for i in range(len(categories)))
 
     def run(batches):
         for b in batches:
             texts = b.column("text").to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([_sketch(t) for t in texts], pa.int64()), pa.array([sorted(word_set(t)) for t in texts], pa.list_(pa.string())), *[b.column(f"_y{i}") for i in range(len(categories))]],
-                names=["doc_id", "sketch", "words", *[f"_y{i}" for i in range(len(categories))]],
+                [b.column("doc_id"), pa.array([_sketches(t) for t in texts], pa.list_(pa.int64())), pa.array([sorted(word_set(t)) for t in texts], pa.list_(pa.string())), *[b.column(f"_y{i}") for i in range(len(categories))]],
+                names=["doc_id", "sketches", "words", *[f"_y{i}" for i in range(len(categories))]],
             )
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = text.join(F.broadcast(chosen), text.doc_id == F.col("_id")).drop("_id").mapInArrow(run, schema)
     sample = materialize(sample, "sample")
-    first = sample.groupBy("sketch").agg(F.min_by("doc_id", "doc_id").alias("_first"))
-    sample = materialize(sample.join(first, (sample.sketch == first.sketch) & (sample.doc_id == first._first)).select(sample["*"]).dropDuplicates(["doc_id"]), "sample_without_copies")
+    groups = sample.select("doc_id", F.posexplode("sketches").alias("k", "sketch"))
+    least = groups.groupBy("k", "sketch").agg(F.min("doc_id").alias("first"), F.collect_set("doc_id").alias("ids"))  # of the bounded sample
+    copies = least.select("first", F.explode("ids").alias("copy")).filter("copy <> first").select("copy").distinct()
+    sample = sample.join(copies, sample.doc_id == copies.copy, "left_anti").dropDuplicates(["doc_id"])
+    sample = materialize(sample, "sample_without_copies")
     n = sample.count()
     if not n:
         return None
@@ -162,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample_rows:
         a, df, pos = F.col(c).cast("double"), F.col("df").cast("double"), float(totals[c] or 0)
         miss = a * (n - pos) - (df - a) * pos
         chi = n * miss * miss / (df * (n - df) * pos * (n - pos)) if 0 < pos < n else F.lit(0.0)
-        chosen_words |= {r.word for r in counts.filter(F.col("df") < n).orderBy(chi.desc_nulls_last(), "word").limit(WORDS_PER_CATEGORY).collect()}
+        chosen_words |= {r.word for r in counts.filter(F.col("df") < n).withColumn("chi", chi).filter(F.col("chi") >= LEAST_CHI_SQUARE).orderBy(F.desc("chi"), "word").limit(WORDS_PER_CATEGORY).collect()}
     number = {w: i for i, w in enumerate(sorted(chosen_words))}
     rows = sample.select("doc_id", F.array_intersect("words", F.array(*map(F.lit, sorted(chosen_words))) if chosen_words else F.array().cast("array<string>")).alias("words"), *ys).collect()
     rows.sort(key=lambda r: xxhash.xxh64_intdigest(str(r.doc_id)))
