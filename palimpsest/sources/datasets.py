@@ -6,11 +6,10 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _SPAN = "struct<entity_type:string,entity:string,label:string,entity_value:string,value:string,text:string,start_position:int,start:int,char_start:int,end_position:int,end:int,char_end:int>"
 _SAMPLE = f"id:string,sample_id:string,full_text:string,text:string,sentence:string,content:string,template_id:int,spans:array<{_SPAN}>,entities:array<{_SPAN}>,tags:array<{_SPAN}>"
-_ROOT = T.StructType.fromDDL("samples array<struct<" + _SAMPLE + ">>, data array<struct<" + _SAMPLE + ">>")
+_ROOT = f"samples array<struct<{_SAMPLE}>>, data array<struct<{_SAMPLE}>>"
 
 
 def texts(spark: SparkSession, rows: list[str]) -> DataFrame:
