@@ -7,6 +7,7 @@ import sys
 import duckdb
 import pytest
 
+from palimpsest.plans import more_queries  # noqa: F401
 from palimpsest.plans import queries as Q
 
 DATA = "/root/testdata/sf0.001"
