@@ -27,7 +27,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import batch, bounded_batches, filesystem, materialize, put_file, scratch
@@ -234,11 +234,12 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
 def read_shards(manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids before the document), n_tokens, ids_crc32, ids (as little-endian uint32) from the blocks of a manifest."""
     spark = manifest.sparkSession
-    blocks = manifest.orderBy("shard", "block").collect()  # a row a block of BLOCK_IDS ids
-    starts, total = [], 0
-    for b in blocks:
-        starts.append(total)
-        total += b.n_ids
+    # Ids before a block: those of the shards before it (a row for each task that wrote) and of the blocks before it in its shard.
+    earlier = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shards = manifest.groupBy("shard").agg(F.sum("n_ids").alias("n_ids")).select(F.col("shard").alias("of"), earlier(Window.orderBy("shard")).alias("first"))
+    blocks = manifest.withColumn("inside", earlier(Window.partitionBy("shard").orderBy("block"))).join(F.broadcast(shards), F.col("shard") == F.col("of"))
+    blocks = blocks.select("path", "at", "size", (F.col("first") + F.col("inside")).alias("start"))
+    count = manifest.count()
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
@@ -256,9 +257,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     start = int(ends[-1])
 
     out = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
-    rows = [(b.path, b.at, b.size, s) for b, s in zip(blocks, starts)]
-    dealt = spark.createDataFrame(rows, "path string, at long, size long, start long")
-    return dealt.repartition(max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism))).mapInArrow(run, out)
+    tasks = min(count, max(4 * spark.sparkContext.defaultParallelism, count // 32))
+    return blocks.repartition(max(1, tasks)).mapInArrow(run, out)
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:
