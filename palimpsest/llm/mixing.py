@@ -102,12 +102,16 @@ def classifier(counted: DataFrame, labels: DataFrame, domain: str, domains: list
     return [e / sum(exps[1:], exps[0]) for e in exps]
 
 
-def fit_rates(docs: DataFrame, labels: DataFrame, domain: str = "quality", targets: dict[str, float] | None = None, lower: float = LOWER, upper: float = UPPER, scale: float = 1.0, ridge: float = RIDGE) -> DataFrame:
-    """A row for each cell that occurs, CELLS at most: _cell, share (of the tokens), posterior (array by sorted domain), rate."""
+def counted_cells(docs: DataFrame) -> DataFrame:
+    """doc_id, _cell, _tokens and _hash (of the text, for the rounding) of every document, written once: all passes over the texts that rates need."""
+    return materialize(cells(docs.select("doc_id", "text")).select("doc_id", "_cell", "_tokens", F.xxhash64("text").alias("_hash")), "cells")
+
+
+def fit_rates(counted: DataFrame, labels: DataFrame, domain: str = "quality", targets: dict[str, float] | None = None, lower: float = LOWER, upper: float = UPPER, scale: float = 1.0, ridge: float = RIDGE) -> DataFrame:
+    """counted: counted_cells(). A row for each cell that occurs, CELLS at most: _cell, share (of the tokens), posterior (array by sorted domain), rate."""
     targets = targets or TARGETS
     domains = sorted(targets)
     weights = [targets[d] * scale / sum(targets.values()) for d in domains]
-    counted = materialize(cells(docs.select(F.col("doc_id"), F.col("text"))).select("doc_id", "_cell", "_tokens"), "cells")
     posterior = classifier(counted, labels, domain, domains) or [F.lit(w / sum(weights)) for w in weights]
     sums = counted.groupBy("_cell").agg(F.sum("_tokens").alias("tokens"))
     total = counted.agg(F.sum("_tokens")).first()[0] or 1
@@ -136,20 +140,20 @@ def fit_rates(docs: DataFrame, labels: DataFrame, domain: str = "quality", targe
 
 
 def _copies(rate: Column, seed: int) -> Column:
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("_hash")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 
 def document_rates(docs: DataFrame, labels: DataFrame, domain: str = "quality", targets: dict[str, float] | None = None, seed: int = SEED, **fit) -> DataFrame:
     """doc_id, n_tokens, a posterior p_<domain> for each domain, rate, copies."""
     targets = targets or TARGETS
-    rates = F.broadcast(fit_rates(docs, labels, domain, targets, **fit))
-    rated = cells(docs.select("doc_id", "text")).join(rates, "_cell")
+    counted = counted_cells(docs)
+    rated = counted.join(F.broadcast(fit_rates(counted, labels, domain, targets, **fit)), "_cell")
     return rated.select("doc_id", F.col("_tokens").alias("n_tokens"), *[F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(sorted(targets))], "rate", _copies(F.col("rate"), seed).alias("copies"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, domain: str = "quality", targets: dict[str, float] | None = None, seed: int = SEED, **fit) -> DataFrame:
     """docs with each row as often as its rate says."""
-    rates = F.broadcast(fit_rates(docs, labels, domain, targets, **fit))
-    rated = cells(docs.select(F.struct("*").alias("row"), "doc_id", "text")).join(rates, "_cell").withColumn("_copies", _copies(F.col("rate"), seed)).filter("_copies > 0")
+    rates = F.broadcast(fit_rates(counted_cells(docs), labels, domain, targets, **fit))
+    rated = cells(docs.select(F.struct("*").alias("row"), "doc_id", "text", F.xxhash64("text").alias("_hash"))).join(rates, "_cell").withColumn("_copies", _copies(F.col("rate"), seed)).filter("_copies > 0")
     return rated.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("row.*")
