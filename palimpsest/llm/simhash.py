@@ -143,8 +143,11 @@ def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def linked_classes(fps: np.ndarray, space: np.ndarray, radius: int = RADIUS, at_once: int = 8192) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints that have a link in their space, and the smallest member of their class there."""
+def linked_classes(fps: np.ndarray, space: np.ndarray, radius: int = RADIUS, at_once: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints that have a link in their space, and the smallest member of their class there.
+
+    at_once: searches side by side; each holds a space's nodes at most, so this bounds the memory.
+    """
     index = GrayIndex(fps, space)
     label = np.arange(len(fps))
     roots = np.searchsorted(index.levels[-1][2], index.space)
