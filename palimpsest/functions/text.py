@@ -55,7 +55,7 @@ def matches(text: Column, regex: str) -> Column:
         e = s + F.octet_length(x["m"])
         return F.struct(e.alias("at"), F.array_append(acc["out"], F.struct(s.alias("s"), e.alias("e"), x["m"].alias("v"))).alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+    pairs = F.filter(F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), lambda x: x["m"].isNotNull())
     return F.when(text.rlike(regex), F.aggregate(pairs, start, step)["out"]).otherwise(empty)
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.spans import no_spans, update
+from palimpsest.functions.spans import update
 from palimpsest.functions.text import LANGUAGES
 from palimpsest.operators import conflict, context
 from palimpsest.operators.recognize import Registry
@@ -78,7 +78,7 @@ def analyze_column(text: Column, options: Options) -> Column:
     found = F.filter(found, lambda s: s["entity"].isin(*options.entities))
     if options.allow_list:
         found = F.filter(found, lambda s: ~allowed(s, options.allow_list))
-    return F.when(F.size(found) > 0, found).otherwise(no_spans())
+    return found
 
 
 def finish(text: Column, found: Column, options: Options) -> Column:
