@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import decontaminate, mixing, simhash, tokens, toxicity
+from palimpsest.llm import decontaminate, mixing, near_copies, tokens, toxicity
 from palimpsest.llm.common import materialize
 
 
@@ -18,8 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id (one of its rows, if it repeats)."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more): the one with the smallest doc_id (one of its rows, if it repeats)."""
+    return near_copies.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ STAGES = [
     ("token_ids", token_ids),
 ]
 
-#: No SQL: the stages fit a classifier chain, hash with XXH64 and run a tokenizer.
+#: No SQL: the stages fit a classifier chain, compare shingle sets by XXH64 and run a tokenizer.
 ORACLE_SQL = None
 
 

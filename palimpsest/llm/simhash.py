@@ -273,8 +273,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, l
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, limit: int = LIMIT) -> DataFrame:
     """Of the rows of docs, with their columns, one for each component: the one with the smallest doc_id (a null only where all are), then text hash."""
+    return first_of_each(docs, _grouped(docs, width, radius, limit))
+
+
+def first_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """One row of docs for each root of grouped(doc_id, text_hash, root)."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    first = _grouped(docs, width, radius, limit).groupBy("root").agg(F.min(order).alias("x"))
+    first = grouped.groupBy("root").agg(F.min(order).alias("x"))
     first = first.select(F.coalesce("x.doc_id", F.lit(0)).alias("id"), F.col("x.none").alias("none"), F.col("x.text_hash").alias("hash"))
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), F.xxhash64("text").alias("hash"))
     one = F.row_number().over(Window.partitionBy("id", "none", "hash").orderBy("id"))  # by the join's keys: the text is dealt once
