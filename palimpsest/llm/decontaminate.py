@@ -68,7 +68,7 @@ class WuManber:
             if step:
                 at += step
                 continue
-            for window, payload in bucket[key].get(tuple(ids[at - m : at - m + 2]), ()):
+            for window, payload in bucket[key].get(tuple(ids[at - m : at - m + min(2, m)]), ()):
                 if ids[at - m : at] == window:
                     yield at, payload
             at += 1

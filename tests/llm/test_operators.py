@@ -150,6 +150,17 @@ def test_wu_manber_against_brute_force():
         assert sorted(x for x in names if x is not None) == want[1]
 
 
+def test_items_of_one_word():
+    r = random.Random(4)
+    items = [("1", "a"), ("2", "B"), ("3", "c d"), ("4", "-e-"), ("5", "q")]
+    matcher = decontaminate.Matcher(items)
+    for n in (1, 2, 7, 50):
+        t = " ".join(r.choice("a b c d e f g".split()) for _ in range(n))
+        found, names = matcher.hits(decontaminate.words_of(t))
+        assert (sum(b - a for a, b in found), sorted(names)) == brute_hits(t, items)
+    assert matcher.hits(["a", "x", "a", "x", "a"])[0] == [(0, 1), (2, 3), (4, 5)]
+
+
 @pytest.mark.parametrize("block", [1 << 20, 40])
 def test_contamination_rows(spark, block):
     items = [(1, "one two three four five six seven eight nine ten eleven"), (2, "short item"), (2, "short item"), (None, "hidden words"), (3, None), (4, "")]
