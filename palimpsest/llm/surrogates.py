@@ -183,7 +183,7 @@ def detect(docs: DataFrame) -> DataFrame:
     """doc_id, text, text_hash, gaps, spans (array of type, value, gender) of every document."""
     text = F.col("text").cast("string")
     rows = docs.select("doc_id", text.alias("text"))
-    likely = F.col("text").rlike(r"[0-9]{3}|@|[0-9A-Fa-f]{32}|(?:Mr|Mrs|Ms|Miss|Herr|Frau|Señora?|Monsieur|Madame|г-н|г-жа)\.? ")
+    likely = F.col("text").rlike(r"[0-9]{3}|@|[0-9][.][0-9]{1,3}[.][0-9]|[0-9A-Fa-f]{32}|(?:Mr|Mrs|Ms|Miss|Herr|Frau|Señora?|Monsieur|Madame|г-н|г-жа)\.? ")
     matches = F.when(likely, F.regexp_extract_all("text", F.lit(PATTERN), 0)).otherwise(F.array().cast("array<string>"))
     rows = rows.withColumn("values", matches)
     rows = rows.withColumn("gaps", F.when(F.size("values") > 0, F.split("text", PATTERN, -1)).otherwise(F.array("text")))

@@ -385,6 +385,14 @@ def test_surrogates_keep_format_and_coreference(spark):
     assert surrogates.replace_all(docs(spark, [])).count() == 0
 
 
+def test_short_addresses_are_replaced(spark):
+    """Addresses are found in texts that hold nothing else of note: no three digits in a row, no other entity."""
+    texts = [(60, "10.0.0.1"), (61, "at 8.8.8.8 now"), (62, "10.1.2.3 and 1.2.3.4"), (63, "version 1.2.3 of 4.5"), (64, "25.0.99.1.")]
+    got = {r.doc_id: r for r in surrogates.replace_all(docs(spark, texts)).collect()}
+    assert [(got[i].n_entities, got[i].types) for i, _ in texts] == [(1, "ipv4"), (1, "ipv4"), (2, "ipv4,ipv4"), (0, ""), (1, "ipv4")]
+    assert all(got[i].text != t for i, t in texts if i != 63) and got[63].text == texts[3][1]
+
+
 def test_surrogates_stay_distinct_under_collisions(spark):
     """One letter in the local part has 26 forms: more values must still have surrogates of their own."""
     mails = [f"{c}@{d}.de" for c in "abcdefghijklmnopqrstuvwxyz" for d in ("one", "two")]
