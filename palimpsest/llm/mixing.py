@@ -1,14 +1,15 @@
-"""Mixing to target weights by soft domain membership, with DataFrame functions only.
+"""Mixing to target weights by soft domain membership, with DataFrame functions only (but for the descent over the cells).
 
 A labelled table gives some documents a domain. A naive Bayes classifier over six binned shape features (words, symbols a word,
 upper-case share, digit share, lines a word, word length) predicts the posterior of each domain for every document. The rates r >= 0 of
 the documents then solve
 
-    min  1/2 sum_k (M_k - w_k)^2 + ridge/2 sum_d s_d (r_d - 1)^2,   M_k = sum_d s_d p_dk r_d,   lower <= r_d <= upper
+    min  1/2 sum_k (M_k - w_k)^2 + ridge/2 sum_d s_d (r_d - 1)^2,   M_k = sum_d s_d p_dk r_d,   lower <= r_d
 
-with s_d the document's share of the tokens and w the target weights times ``scale``, by projected gradient descent in the metric of s.
+with s_d the document's share of the tokens and w the target weights times ``scale``, by projected gradient descent in the metric of s,
+until it rests. Rates have no upper bound unless one is given.
 The gradient at a document is its posterior times M - w, so documents of one cell (one bin of each feature) have one rate, and
-the descent runs on the cells' token sums: at most CELLS rows whatever the corpus. The cells' rates go back to the documents by a broadcast
+the descent runs on the cells' token sums, in the driver: at most CELLS rows whatever the corpus. The cells' rates go back to the documents by a broadcast
 of that bounded table.
 
 A document's copies are its rate rounded up or down by a keyed hash of its id and text, so that their expected tokens match the targets.
@@ -22,16 +23,17 @@ from __future__ import annotations
 
 from math import log, prod
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import materialize
 
 TARGETS = {"1": 0.8, "0": 0.2}
-LOWER, UPPER = 0.0, 4.0
+LOWER = 0.0
 RIDGE = 0.01
-STEPS = 20
-TOLERANCE = 1e-4
+#: The descent ends when no rate moves by more than this share of the largest one.
+TOLERANCE = 1e-12
 SEED = 7
 
 #: Upper edges of the bins of each feature; the last bin is open.
@@ -107,7 +109,7 @@ def counted_cells(docs: DataFrame) -> DataFrame:
     return materialize(cells(docs.select("doc_id", "text")).select("doc_id", "_cell", "_tokens", F.xxhash64("text").alias("_hash")), "cells")
 
 
-def fit_rates(counted: DataFrame, labels: DataFrame, domain: str = "quality", targets: dict[str, float] | None = None, lower: float = LOWER, upper: float = UPPER, scale: float = 1.0, ridge: float = RIDGE) -> DataFrame:
+def fit_rates(counted: DataFrame, labels: DataFrame, domain: str = "quality", targets: dict[str, float] | None = None, lower: float = LOWER, upper: float | None = None, scale: float = 1.0, ridge: float = RIDGE) -> DataFrame:
     """counted: counted_cells(). A row for each cell that occurs, CELLS at most: _cell, share (of the tokens), posterior (array by sorted domain), rate."""
     targets = targets or TARGETS
     domains = sorted(targets)
@@ -115,28 +117,25 @@ def fit_rates(counted: DataFrame, labels: DataFrame, domain: str = "quality", ta
     posterior = classifier(counted, labels, domain, domains) or [F.lit(w / sum(weights)) for w in weights]
     sums = counted.groupBy("_cell").agg(F.sum("_tokens").alias("tokens"))
     total = counted.agg(F.sum("_tokens")).first()[0] or 1
-    state = materialize(sums.select("_cell", (F.col("tokens") / F.lit(total)).alias("share"), F.array(*[p.cast("double") for p in posterior]).alias("posterior"), F.lit(1.0).alias("rate")), "rates")
-    eta, k = 1.0 / (1.0 + ridge), len(domains)
-    gaps: list[list[float]] = []
-
-    def rate() -> Column:
-        if not gaps:
-            return F.col("rate")
-        steps = F.array(*[F.array(*map(F.lit, g)) for g in gaps])
-        descend = lambda r, g: F.greatest(F.lit(lower), F.least(F.lit(upper), r - eta * (sum((F.col("posterior")[i] * g[i] for i in range(1, k)), F.col("posterior")[0] * g[0]) + ridge * (r - 1))))
-        return F.aggregate(steps, F.col("rate"), descend)
-
-    last = None
-    for step in range(STEPS):
-        sums = state.select(*[F.sum(F.col("share") * F.col("posterior")[i] * rate()).alias(f"m{i}") for i in range(k)]).first()
-        gap = [(sums[i] or 0.0) - weights[i] for i in range(k)]
-        if last is not None and max(abs(a - b) for a, b in zip(gap, last)) < TOLERANCE:
-            break
-        gaps.append(gap)
-        last = gap
-        if len(gaps) == 12:
-            state, gaps = materialize(state.withColumn("rate", rate()), "rates"), []
-    return materialize(state.withColumn("rate", rate()), "rates")
+    state = materialize(sums.select("_cell", (F.col("tokens") / F.lit(total)).alias("share"), F.array(*[p.cast("double") for p in posterior]).alias("posterior")), "rates")
+    gap = [float(g) for g in _converged_gap(state.select("_cell", "share", "posterior").orderBy("_cell").collect(), weights, lower, upper, ridge)]
+    # Where the descent rests, ridge (r - 1) = -p (M - w) for every rate within the bounds.
+    rate = F.greatest(F.lit(float(lower)), 1 - sum((F.col("posterior")[i] * gap[i] for i in range(1, len(gap))), F.col("posterior")[0] * gap[0]) / ridge)
+    return materialize(state.withColumn("rate", rate if upper is None else F.least(F.lit(float(upper)), rate)), "rates")
+
+
+def _converged_gap(cells_: list, weights: list[float], lower: float, upper: float | None, ridge: float) -> np.ndarray:
+    """M - w after projected gradient descent to rest; cells_: share and posterior of CELLS rows at most. Each step shrinks the distance by 1 / (1 + ridge) or better."""
+    w = np.array(weights)
+    share, p = np.array([c.share for c in cells_], float), np.array([c.posterior for c in cells_], float).reshape(-1, len(w))
+    rate, eta = np.clip(np.ones(len(share)), lower, upper), 1.0 / (1.0 + ridge)
+    while True:
+        gap = (share * rate) @ p - w
+        new = np.clip(rate - eta * (p @ gap + ridge * (rate - 1)), lower, upper)
+        moved = np.abs(new - rate).max(initial=0.0)
+        if moved <= TOLERANCE * max(1.0, np.abs(new).max(initial=0.0)):
+            return gap
+        rate = new
 
 
 def _copies(rate: Column, seed: int) -> Column:

@@ -339,6 +339,19 @@ def test_rates_meet_targets(spark):
     assert mixed.columns == clashing(spark).columns and {r.doc_id for r in mixed.collect()} == {i for i, _ in clean + noisy}
 
 
+@pytest.mark.parametrize("lower, scale", [(0.0, 1.0), (1.0, 1.25)])
+def test_rates_of_a_scarce_domain_rest(spark, lower, scale):
+    """The rates solve the stated problem: no cap, and no descent that stops on its way."""
+    clean = [(i, "plain words of a document here. " * (1 + i % 7)) for i in range(200)]
+    noisy = [(1000 + i, "#### $$$ %%% &&& ") for i in range(20)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)] + [(1000 + i, 0, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    got = mixing.document_rates(docs(spark, clean + noisy), labels, lower=lower, scale=scale).collect()
+    share = np.array([r.n_tokens for r in got]) / sum(r.n_tokens for r in got)
+    p, rate = np.array([(r.p_0, r.p_1) for r in got]), np.array([r.rate for r in got])
+    gap = (share * rate) @ p - scale * np.array([0.2, 0.8])
+    assert rate.max() > 4 and np.abs(rate - np.maximum(lower, 1 - p @ gap / mixing.RIDGE)).max() < 1e-6
+
+
 def test_mixing_without_labels_or_documents(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert mixing.document_rates(docs(spark), none).count() == len(ODD)
