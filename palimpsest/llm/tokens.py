@@ -11,12 +11,12 @@ byte a document that says whether it is null); uint32 ids in each document; uint
 Documents are dealt by ranges of doc_id (then a hash of the text, which only splits equal ids), tokenised in their order and written by the
 task at hand, so one shuffle of the text is all there is. The manifest has a row for each block; the reader deals blocks, not files, to tasks.
 
-Equal to encoding each whole text in one call: a text is cut only before a space or newline that stands alone between other
-characters, where the byte-level pre-tokenizer always cuts too, and distinct pieces are encoded once in a worker's bounded cache; texts with other
-white space or the special token's opening are encoded whole.
+Equal to encoding each whole text in one call: a text is cut into pieces only where the byte-level pre-tokenizer cuts whatever stands
+around (see ``piece_starts``), and texts with the special token's opening stay whole. Pieces are found on the bytes of many
+texts at a time and numbered by Arrow, so that each distinct one is looked up, or encoded, once; a worker's cache of them is bounded.
 
 Defined results: a null text is empty (the end id only); a null doc_id comes first and stays null; among equal ids the text's hash gives the
-order; an empty table gives no shards and no rows.
+order; an empty table gives no shards and no rows. Only doc_id and text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -35,8 +35,13 @@ from palimpsest.llm.common import batch, bounded_batches, filesystem, materializ
 END_ID = 0
 #: Ids in a block before it is closed.
 BLOCK_IDS = 1 << 20
-#: Distinct pieces that a worker keeps.
+#: Distinct pieces in each of the two generations that a worker keeps, and the longest one kept.
 CACHE_PIECES = 300_000
+CACHED_BYTES = 64
+#: Bytes of text that are cut into pieces at a time (or one text), and pieces that are encoded at a time.
+SLICE_BYTES = 4 << 20
+_AT_ONCE = 4096
+_simple = re.compile(r"[ \n]?\S+").fullmatch
 MAGIC = b"PTK1"
 _HEAD = struct.Struct("<4s5I")
 
@@ -70,15 +75,19 @@ def decode_ranks(control: np.ndarray, data: np.ndarray, count: int) -> np.ndarra
 
 
 def encode_block(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
-    counts = np.fromiter(map(len, ids), "<u4", len(ids))
-    flat = np.concatenate(ids).astype(np.uint32) if ids else np.zeros(0, np.uint32)
+    """A block of documents, each with its own array of ids."""
+    return pack_block(doc_ids, np.fromiter(map(len, ids), "<u4", len(ids)), np.concatenate(ids) if ids else np.zeros(0, np.uint32))
+
+
+def pack_block(doc_ids: list[int | None], counts: np.ndarray, flat: np.ndarray) -> bytes:
+    """A block of documents that have counts[i] ids each, one after the other in flat."""
     freq = np.bincount(flat) if len(flat) else np.zeros(0, np.int64)
     table = np.argsort(-freq, kind="stable")[: np.count_nonzero(freq)].astype("<u4")
     rank = np.zeros(len(freq), np.uint32)
     rank[table] = np.arange(len(table), dtype=np.uint32)
-    control, data = encode_ranks(rank[flat] if len(flat) else flat)
+    control, data = encode_ranks(rank[flat] if len(flat) else flat.astype(np.uint32))
     names = np.array([i or 0 for i in doc_ids], "<i8").tobytes() + bytes(i is None for i in doc_ids)
-    return _HEAD.pack(MAGIC, len(doc_ids), len(flat), len(table), len(data), len(names)) + names + counts.tobytes() + table.tobytes() + control + data
+    return _HEAD.pack(MAGIC, len(doc_ids), len(flat), len(table), len(data), len(names)) + names + counts.astype("<u4").tobytes() + table.tobytes() + control + data
 
 
 def decode_block(block: bytes) -> tuple[list[int | None], list[np.ndarray]]:
@@ -97,74 +106,176 @@ def decode_block(block: bytes) -> tuple[list[int | None], list[np.ndarray]]:
     return doc_ids, np.split(table[got], np.cumsum(counts[:-1], dtype=np.int64)) if docs else []
 
 
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-_cut = re.compile(rf"[ \n]?[{_LETTERS}]+(?=[\x00-\x40\x5b-\x60\x7b-\x7f]|\Z)|[ \n]?[^ \n]+|[ \n]").findall
-_plain = re.compile(rf" [{_LETTERS}]+").fullmatch
-_uncut = re.compile(r"\s\s|[^\S \n]|<\|").search
+def _bytes_in(*ranges: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    for low, high in ranges:
+        out[low : high + 1] = True
+    return out
+
+
+_SPACES = _bytes_in((9, 13), (28, 32))
+_LETTERS = _bytes_in((65, 90), (97, 122))
+#: ASCII that ends a run of letters.
+_MARKS = _bytes_in((0, 8), (14, 27), (33, 64), (91, 96), (123, 127))
+#: First bytes of the white space beyond ASCII: U+0085, U+00A0, U+1680, U+2000 to U+200F, U+2028 to U+202F, U+205F, U+3000.
+_LEADS = _bytes_in((0xC2, 0xC2), (0xE1, 0xE3))
+
+
+def _white(data: np.ndarray) -> np.ndarray:
+    """Whether a byte belongs to white space (or to a character near it in number)."""
+    white = _SPACES[data]
+    at = np.flatnonzero(_LEADS[data])
+    at = at[at < len(data) - 1]
+    if len(at):
+        one, two = data[at], data[at + 1]
+        three = data[np.minimum(at + 2, len(data) - 1)]
+        short = (one == 0xC2) & ((two == 0x85) | (two == 0xA0))
+        long = ((one == 0xE1) & (two == 0x9A) & (three == 0x80)) | ((one == 0xE3) & (two == 0x80) & (three == 0x80))
+        long |= (one == 0xE2) & (((two == 0x80) & ((three < 0x90) | (three >= 0xA8)) & (three < 0xB0)) | ((two == 0x81) & (three == 0x9F)))
+        for k, which in ((0, short | long), (1, short | long), (2, long)):
+            white[np.minimum(at[which] + k, len(data) - 1)] = True
+    return white
+
+
+def piece_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts begin that stand one after the other in data, the first at starts[0] = 0; pieces lie within a text.
+
+    A piece begins with a text, with a space or newline that has no white space beside it, and after an ASCII letter with an
+    ASCII character that is none. The pre-tokenizer cuts at all of these, whatever comes before and after. Texts with
+    the opening of the special token stay whole.
+    """
+    n = len(data)
+    cut = np.zeros(n, bool)
+    if n > 1:
+        white = _white(data)
+        cut[1:] = ((data[1:] == 32) | (data[1:] == 10)) & ~white[:-1]
+        cut[:-1] &= ~white[1:]
+        cut[1:] |= _MARKS[data[1:]] & _LETTERS[data[:-1]]
+        special = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
+        if len(special):
+            ends = np.append(starts[1:], n)
+            for k in np.unique(np.searchsorted(starts, special, "right") - 1):
+                cut[starts[k] : ends[k]] = False
+    cut[starts] = True
+    return np.flatnonzero(cut)
 
 
 class Encoder:
-    """Whole-text encoding with a bounded cache of pieces in front of the tokenizer."""
+    """Whole-text encoding with a bounded cache of pieces in front of the tokenizer: each piece that a slice of the input holds is looked up once."""
 
     def __init__(self, json: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(json)
         self.kind = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        self.cache: dict[str, bytes] = {}
+        #: Two generations: pieces of the one before are taken over when they are met again.
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        #: Whether an id's token begins with a space (as byte-level tokens write it).
+        #: Whether an id's token begins with a space (as byte-level tokens write it); the token of a newline on its own.
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        self.newline = vocabulary["\u010a"]
 
     def _bytes(self, ids) -> bytes:
         return np.array(ids, dtype=self.kind).tobytes()
 
-    def _solve(self, pieces: list[str]) -> None:
-        """Encode distinct pieces into the cache. Plain ones, a space and letters, go in one text: only their first tokens begin with a space."""
-        cache, width = self.cache, np.dtype(self.kind).itemsize
-        plain, rest = [], []
-        for x in pieces:
-            (plain if _plain(x) else rest).append(x)
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype=self.kind)
-            edges = (np.flatnonzero(self.spaced[ids]) * width).tolist()
-            data = ids.tobytes()
-            edges.append(len(data))
-            if len(edges) != len(part) + 1:
-                raise ValueError("this tokenizer does not cut words at spaces")
-            cache.update(zip(part, [data[i:j] for i, j in zip(edges, edges[1:])]))
-        for at in range(0, len(rest), 4096):
-            part = rest[at : at + 4096]
-            e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            edges = (width * np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1))).tolist()
-            data = self._bytes(e.ids)
-            cache.update(zip(part, [data[i:j] for i, j in zip(edges, edges[1:])]))
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
+
+    def _parts(self, ids: np.ndarray, first: np.ndarray, count: int, skip: int) -> list[bytes]:
+        """ids cut where first says that a piece begins; skip: ids to leave out at each beginning."""
+        if len(first) != count:
+            raise ValueError("this tokenizer does not cut words at white space")
+        width, data = self.tokenizer_width, ids.tobytes()
+        edges = (first * width).tolist() + [len(data)]
+        return [data[i + skip * width : j] for i, j in zip(edges, edges[1:])]
+
+    @property
+    def tokenizer_width(self) -> int:
+        return np.dtype(self.kind).itemsize
+
+    def _solve(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of distinct pieces, as bytes. Those with white space only in front are encoded many at a time, in one text, which the pre-tokenizer cuts at it."""
+        out: list[bytes] = [b""] * len(pieces)
+        texts = [p.decode("utf-8", "replace") for p in pieces]
+        spaced, lined, bare = [], [], []
+        for i, t in enumerate(texts):
+            if _simple(t):
+                (spaced if t[0] == " " else lined if t[0] == "\n" else bare).append(i)
+            else:
+                out[i] = self._bytes(self.tokenizer.encode(t, add_special_tokens=False).ids)
+        for at in range(0, len(spaced), _AT_ONCE):
+            part = spaced[at : at + _AT_ONCE]
+            ids = self._encode("".join([texts[i] for i in part]))
+            for i, x in zip(part, self._parts(ids, np.flatnonzero(self.spaced[ids]), len(part), 0)):
+                out[i] = x
+        for group, lead, skip in ((lined, "", 0), (bare, "\n", 1)):
+            for at in range(0, len(group), _AT_ONCE):
+                part = group[at : at + _AT_ONCE]
+                ids = self._encode("".join([lead + texts[i] for i in part]))
+                for i, x in zip(part, self._parts(ids, np.flatnonzero(ids == self.newline), len(part), skip)):
+                    out[i] = x
+        return out
+
+    def _look_up(self, pieces: list[bytes]) -> list[bytes]:
+        young, old = self.young, self.old
+        found = list(map(young.get, pieces))
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing:
+            if len(young) + len(missing) > CACHE_PIECES:
+                self.old = old = young
+                self.young = young = {}
+            lost = []
+            for i in missing:
+                x = old.get(pieces[i])
+                if x is None:
+                    lost.append(i)
+                else:
+                    found[i] = young[pieces[i]] = x
+            for i, x in zip(lost, self._solve([pieces[i] for i in lost])):
+                found[i] = x
+                if len(pieces[i]) <= CACHED_BYTES:
+                    young[pieces[i]] = x
+        return found
+
+    def encode_flat(self, data: np.ndarray, starts: np.ndarray, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts of data (those that begin at starts; an empty one begins where the next does), each followed by end, and their number for each text."""
+        n, docs = len(data), len(starts)
+        full = np.append(starts, n)
+        begun = starts[np.diff(full) > 0]
+        at = piece_starts(data, begun) if n else np.zeros(0, np.int64)
+        cuts = pa.py_buffer(np.append(at, n).astype(np.int32))
+        pieces = pa.Array.from_buffers(pa.binary(), len(at), [None, cuts, pa.py_buffer(data)]).dictionary_encode()
+        known = [*self._look_up(pieces.dictionary.to_pylist()), end]
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // self.tokenizer_width
+        pool = np.frombuffer(b"".join(known), self.kind)
+        #: The pieces' numbers with that of ``end`` after each text's.
+        last = np.searchsorted(at, full[1:]) + np.arange(docs)
+        code = np.full(len(at) + docs, len(known) - 1, np.int32)
+        own = np.ones(len(code), bool)
+        own[last] = False
+        code[own] = pieces.indices.to_numpy(zero_copy_only=False)
+        size = sizes[code]
+        ends = np.cumsum(size)
+        source = np.repeat((np.cumsum(sizes) - sizes)[code] - (ends - size), size)
+        source += np.arange(len(source))
+        return pool[source], np.diff(ends[last], prepend=0)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        cache, get = self.cache, self.cache.get
-        cuts = [None if _uncut(t) else _cut(t) for t in texts]
-        new: set[str] = set()
-        parts: list[list | None] = []
-        for c in cuts:
-            p = None if c is None else list(map(get, c))
-            if p is not None and None in p:
-                new.update([x for x, y in zip(c, p) if y is None])
-            parts.append(p)
-        self._solve(list(new))
-        whole = iter(self.tokenizer.encode_batch([t for t, c in zip(texts, cuts) if c is None], add_special_tokens=False))
-        out = []
-        for c, p in zip(cuts, parts):
-            if c is None:
-                out.append(np.frombuffer(self._bytes(next(whole).ids), self.kind))
-                continue
-            if None in p:
-                p = [cache[x] if y is None else y for x, y in zip(c, p)]
-            out.append(np.frombuffer(b"".join(p), self.kind))
-        return out
+        parts = [t.encode("utf-8") for t in texts]
+        ends = np.cumsum([len(x) for x in parts], dtype=np.int64)
+        flat, counts = self.encode_flat(np.frombuffer(b"".join(parts), np.uint8), ends - [len(x) for x in parts], b"")
+        return np.split(flat, np.cumsum(counts)[:-1])
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string array and the edges of its texts in them (a null is empty)."""
+    texts = texts.fill_null("") if texts.null_count else texts
+    _, edges, data = texts.buffers()
+    wide = pa.types.is_large_string(texts.type)
+    edges = np.frombuffer(edges, np.int64 if wide else np.int32, len(texts) + 1, texts.offset * (8 if wide else 4)).astype(np.int64)
+    return np.frombuffer(data or b"", np.uint8), edges
 
 
 _encoders: dict[int, Encoder] = {}
@@ -199,25 +310,39 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
         rows: list[tuple] = []
 
         def blocks():
-            encode, end = encoder(sent.value).encode, np.array([end_id])
-            names, held, count, at = [], [], 0, 0
+            coder = encoder(sent.value)
+            end = coder._bytes([end_id])
+            names, counts, held, count, at = [], [], [], 0, 0
 
             def close():
-                nonlocal names, held, count, at
-                block = encode_block(names, held)
+                nonlocal names, counts, held, count, at
+                block = pack_block(names, np.concatenate(counts), np.concatenate(held))
                 rows.append((shard, len(rows), path, at, len(block), len(names), count))
                 at += len(block)
-                names, held, count = [], [], 0
+                names, counts, held, count = [], [], [], 0
                 return block
 
             for b in batches:
-                texts = [t or "" for t in b.column("text").to_pylist()]
-                for name, ids in zip(b.column("doc_id").to_pylist(), encode(texts)):
-                    if count and count + len(ids) + 1 > block_ids:
-                        yield close()
-                    names.append(name)
-                    held.append(np.concatenate((ids, end)))
-                    count += len(ids) + 1
+                ids, (data, edges) = b.column("doc_id").to_pylist(), text_bytes(b.column("text"))
+                k = 0
+                while k < len(ids):
+                    j = max(k + 1, int(np.searchsorted(edges, edges[k] + SLICE_BYTES, "right")) - 1)
+                    flat, sizes = coder.encode_flat(data[edges[k] : edges[j]], edges[k:j] - edges[k], end)
+                    ends, i = np.cumsum(sizes), 0
+                    while i < len(sizes):
+                        before = ends[i] - sizes[i]
+                        to = int(np.searchsorted(ends, before + block_ids - count, "right"))
+                        if to <= i:
+                            if count:
+                                yield close()
+                                continue
+                            to = i + 1
+                        names += ids[k + i : k + to]
+                        counts.append(sizes[i:to])
+                        held.append(flat[before : ends[to - 1]])
+                        count += int(ends[to - 1] - before)
+                        i = to
+                    k = j
             if names:
                 yield close()
 
@@ -231,8 +356,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     return materialize(dealt.mapInArrow(run, _MANIFEST), "manifest")
 
 
-def read_shards(manifest: DataFrame) -> DataFrame:
-    """doc_id, start (ids before the document), n_tokens, ids_crc32, ids (as little-endian uint32) from the blocks of a manifest."""
+def read_shards(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
+    """doc_id, start (ids before the document), n_tokens, ids_crc32, ids (as little-endian uint32; null if with_ids is false) from the blocks of a manifest."""
     spark = manifest.sparkSession
     # Ids before a block: those of the shards before it (a row for each task that wrote) and of the blocks before it in its shard.
     earlier = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -253,7 +378,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     part = [x.astype("<u4").tobytes() for x in ids[k : k + 256]]
                     counts = np.array([len(x) // 4 for x in part])
                     ends = start + np.cumsum(counts)
-                    yield batch(schema, doc_id=doc_ids[k : k + 256], start=pa.array(ends - counts, pa.int64()), n_tokens=pa.array(counts, pa.int64()), ids_crc32=[zlib.crc32(x) for x in part], ids=part)
+                    yield batch(schema, doc_id=doc_ids[k : k + 256], start=pa.array(ends - counts, pa.int64()), n_tokens=pa.array(counts, pa.int64()), ids_crc32=[zlib.crc32(x) for x in part], ids=part if with_ids else [None] * len(part))
                     start = int(ends[-1])
 
     out = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
@@ -264,7 +389,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Write docs in the file format in the shared folder and read it back: doc_id, start, n_tokens, ids_crc32."""
     manifest = write_shards(docs, tokenizer_path, scratch(docs.sparkSession, "tokens"), end_id, block_ids)
-    return read_shards(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_shards(manifest, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def default_tokenizer() -> str:
