@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from palimpsest.functions.spans import let, running
+
 #: Words that are no keywords.
 STOP_WORDS = "a an and are as at be but by for from has have i in is it its my of on or our the this to was were will with you your".split()
 #: A token is letters, digits and underscores, with single apostrophes or hyphens inside.
@@ -19,7 +21,23 @@ def utf8(text: Column) -> Column:
 
 
 def byte_slice(text: Column, start: Column, end: Column) -> Column:
-    return F.substr(utf8(text), start + 1, end - start).cast("string")
+    return bytes_slice(utf8(text), start, end)
+
+
+def bytes_slice(data: Column, start: Column, end: Column) -> Column:
+    """The same of a text's bytes, for many slices of one text: encoding copies the whole text."""
+    return F.substr(data, start + 1, end - start).cast("string")
+
+
+def chars_before(data: Column, at: Column, size: int) -> Column:
+    """The last size characters of a text, given as its bytes, before a byte offset."""
+    near = F.make_valid_utf8(bytes_slice(data, F.greatest(F.lit(0), at - 4 * (size + 1)), at))
+    return F.substr(near, F.greatest(F.length(near) - size + 1, F.lit(1)), F.lit(size))
+
+
+def chars_after(data: Column, at: Column, size: int) -> Column:
+    """The first size characters from a byte offset on."""
+    return F.substr(F.make_valid_utf8(bytes_slice(data, at, F.least(F.octet_length(data), at + 4 * (size + 1)))), F.lit(1), F.lit(size))
 
 
 def byte_to_char(text: Column, at: Column) -> Column:
@@ -48,15 +66,17 @@ def matches(text: Column, regex: str) -> Column:
     """
     found, gaps = F.regexp_extract_all(text, F.lit(regex), F.lit(0)), F.split(text, regex, -1)
     empty = F.array().cast("array<struct<s:int,e:int,v:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
-    def step(acc, x):
-        s = acc["at"] + F.octet_length(x["g"])
-        e = s + F.octet_length(x["m"])
-        return F.struct(e.alias("at"), F.array_append(acc["out"], F.struct(s.alias("s"), e.alias("e"), x["m"].alias("v"))).alias("out"))
+    def ranges(m):
+        lengths = F.zip_with(F.slice(gaps, F.lit(1), F.size(m)), m, lambda g, x: F.struct(F.octet_length(g).alias("gap"), F.octet_length(x).alias("own"), x.alias("v")))
+
+        def placed(pairs):
+            at = running(F.transform(pairs, lambda p: p["gap"] + p["own"]), F.lit(0), lambda a, x: a + x)
+            return F.zip_with(pairs, at, lambda p, a: F.struct((a + p["gap"]).alias("s"), (a + p["gap"] + p["own"]).alias("e"), p["v"].alias("v")))
+
+        return let(lengths, placed)
 
-    pairs = F.filter(F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), lambda x: x["m"].isNotNull())
-    return F.when(text.rlike(regex), F.aggregate(pairs, start, step)["out"]).otherwise(empty)
+    return F.when(text.rlike(regex), let(found, ranges)).otherwise(empty)
 
 
 def normalize_token(token: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.spans import update
-from palimpsest.functions.text import LANGUAGES
+from palimpsest.functions.text import LANGUAGES, tokens, utf8
 from palimpsest.operators import conflict, context
 from palimpsest.operators.recognize import Registry
 from palimpsest.plans.profiles import PROFILES, entities_of
@@ -81,13 +81,22 @@ def analyze_column(text: Column, options: Options) -> Column:
     return found
 
 
-def finish(text: Column, found: Column, options: Options) -> Column:
-    """What follows recognition: context, acceptance, threshold, dropped text, conflicts."""
-    found = context.enhance(text, found, options.context, active=not (options.profile == "regex_only" and not options.context.words))
-    found = F.filter(found, lambda s: context.accepted(s) & (s["score"] >= options.score_threshold))
+def finish(rows: DataFrame, text: Column, found: str, options: Options, out: str) -> DataFrame:
+    """rows with out, what follows recognition of the spans in the column found: context, acceptance, threshold, dropped text, conflicts.
+
+    Each step is a column of its own. As one expression they nest deeper than the analyzer resolves; the optimizer puts them together again.
+    """
+    some = F.size(found) > 0
+    active = not (options.profile == "regex_only" and not options.context.words)
+    toks = F.when(some & context.needed(F.col(found), options.context), tokens(text)) if active else F.lit(None)
+    rows = rows.withColumn("_toks", toks).withColumn("_data", F.when(some, utf8(text)))
+    rows = rows.withColumn("_kept", F.when(some, context.enhance(text, F.col(found), options.context, active, F.col("_toks"), F.col("_data"))).otherwise(F.col(found)))
+    kept = F.filter("_kept", lambda s: context.accepted(s) & (s["score"] >= options.score_threshold))
     if not options.include_text:
-        found = F.transform(found, lambda s: update(s, text=F.lit(None)))
-    return conflict.resolve(found, options.conflict_strategy)
+        kept = F.transform(kept, lambda s: update(s, text=F.lit(None)))
+    rows = rows.withColumn("_kept", F.when(some, kept).otherwise(F.col(found)))
+    done = F.when(F.size("_kept") > 0, conflict.resolve(F.col("_kept"), options.conflict_strategy)).otherwise(F.col("_kept"))
+    return rows.withColumn(out, done).drop("_toks", "_data", "_kept")
 
 
 def analyze(docs: DataFrame, options: Options | None = None, text: str = "text", spans: str = "spans") -> DataFrame:
@@ -101,5 +110,4 @@ def analyze(docs: DataFrame, options: Options | None = None, text: str = "text",
     found = docs.withColumn("_found", F.when(ok, analyze_column(value, options)))
     if options.detect_language is not None:
         found = found.withColumn("language", F.coalesce(options.detect_language(value), F.lit("unknown")))
-    done = F.when(F.size("_found") > 0, finish(value, F.col("_found"), options)).otherwise(F.col("_found"))
-    return found.withColumn(spans, done).withColumn("error", F.when(~ok & value.isNotNull(), "invalid_utf8")).drop("_found")
+    return finish(found, value, "_found", options, spans).withColumn("error", F.when(~ok & value.isNotNull(), "invalid_utf8")).drop("_found")

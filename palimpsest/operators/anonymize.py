@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.spans import let, update
-from palimpsest.functions.text import byte_slice, graphemes
+from palimpsest.functions.spans import let, running, update
+from palimpsest.functions.text import byte_slice, bytes_slice, graphemes, utf8
 from palimpsest.operators import conflict
 
 #: The default replacements.
@@ -149,21 +149,30 @@ def operator_name(entity: Column, table: dict[str, dict]) -> Column:
 
 def merge_whitespace(text: Column, spans: Column) -> Column:
     """Neighbours of one entity with only white space between become one span."""
-    def step(acc, s):
-        last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & (last["entity"] == s["entity"]) & (last["byte_end"] <= s["byte_start"]) & byte_slice(text, last["byte_end"], s["byte_start"]).rlike(r"^(?U)\s*\z")
-        merged = F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), update(last, byte_end=s["byte_end"], text=F.lit(None)))
-        return F.when(F.coalesce(joins, F.lit(False)), merged).otherwise(F.array_append(acc, s))
+    from palimpsest.functions.spans import cut_at, no_spans, sort_by
 
-    from palimpsest.functions.spans import no_spans, sort_by
+    def merged(data):
+        def begins(s, i, all_):
+            before = F.get(all_, i - 1)
+            return ~F.coalesce((before["entity"] == s["entity"]) & (before["byte_end"] <= s["byte_start"]) & bytes_slice(data, before["byte_end"], s["byte_start"]).rlike(r"^(?U)\s*\z"), F.lit(False))
 
-    return F.aggregate(sort_by(spans, lambda s: [s["byte_start"], s["byte_end"]]), no_spans(), step)
+        one = lambda run: F.when(F.size(run) == 1, F.element_at(run, 1)).otherwise(update(F.element_at(run, 1), byte_end=F.element_at(run, -1)["byte_end"], text=F.lit(None)))
+        return F.transform(cut_at(sort_by(spans, lambda s: [s["byte_start"], s["byte_end"]]), begins), one)
 
+    return F.when(F.size(spans) > 1, let(utf8(text), merged)).otherwise(F.coalesce(spans, no_spans()))
 
-def valid_span(text: Column, s: Column) -> Column:
-    """Bounds in the text, start before end, whole characters, and the value (if given) equal to the bytes."""
-    slice_ = byte_slice(text, s["byte_start"], s["byte_end"])
-    return (s["byte_start"] >= 0) & (s["byte_start"] < s["byte_end"]) & (s["byte_end"] <= F.octet_length(text)) & F.is_valid_utf8(slice_) & (s["text"].isNull() | (s["text"] == slice_))
+
+def spliced(data: Column, items: Column, start, end, new) -> Column:
+    """A text, given as its bytes, with the range of each item (ordered, without overlap) replaced; start, end, new: functions of an item."""
+    gap = lambda x, i: bytes_slice(data, F.when(i == 0, F.lit(0)).otherwise(end(F.get(items, i - 1))), start(x))
+    tail = bytes_slice(data, end(F.element_at(items, -1)), F.octet_length(data))
+    return F.concat(F.array_join(F.transform(items, lambda x, i: F.concat(gap(x, i), new(x))), ""), tail)
+
+
+def valid_span(data: Column, s: Column) -> Column:
+    """Of a text's bytes: bounds in the text, start before end, whole characters, and the value (if given) equal to the bytes."""
+    slice_ = bytes_slice(data, s["byte_start"], s["byte_end"])
+    return (s["byte_start"] >= 0) & (s["byte_start"] < s["byte_end"]) & (s["byte_end"] <= F.octet_length(data)) & F.is_valid_utf8(slice_) & (s["text"].isNull() | (s["text"] == slice_))
 
 
 def anonymize(docs: DataFrame, operators: Operators | None = None, conflict_strategy: str | bool = "aggressive", merge_ws: bool = False, text: str = "text", spans: str = "spans", strict: bool = False) -> DataFrame:
@@ -175,7 +184,9 @@ def anonymize(docs: DataFrame, operators: Operators | None = None, conflict_stra
     if conflict_strategy not in (False, *conflict.STRATEGIES):
         raise OperatorError("invalid_strategy")
     table, value = operators.table(), F.col(text)
-    invalid = lambda s: ~F.coalesce(valid_span(value, s), F.lit(False))
+    docs = docs.withColumn("_bytes", F.when(F.size(spans) > 0, utf8(value)))
+    data = F.col("_bytes")
+    invalid = lambda s: ~F.coalesce(valid_span(data, s), F.lit(False))
     good = F.filter(spans, lambda s: ~invalid(s))
     if strict:
         good = F.when(F.exists(spans, invalid), F.raise_error(F.lit("invalid_span"))).otherwise(F.col(spans))
@@ -184,23 +195,21 @@ def anonymize(docs: DataFrame, operators: Operators | None = None, conflict_stra
     custom_entities = {e: c for e, c in table.items() if c["type"] == "custom"}
     if custom_entities:
         raise OperatorError("invalid_operator", "custom: use anonymize_custom")
-    # A splice from left to right: text so far, place in the source, items.
     item = "array<struct<entity:string,operator:string,source_byte_start:int,source_byte_end:int,replacement_byte_start:int,replacement_byte_end:int,replacement:string,replacement_order:string>>"
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), F.lit(0).alias("length"), F.array().cast(item).alias("items"))
     order = F.when(F.size("_chosen") >= 2, "right_to_left")
+    made = F.transform("_chosen", lambda s: F.struct(s["entity"].alias("entity"), s["byte_start"].alias("b"), s["byte_end"].alias("e"), replacement(s["entity"], bytes_slice(data, s["byte_start"], s["byte_end"]), table).alias("new")))
+    rows = rows.withColumn("_new", F.when(F.size("_chosen") > 0, made))
+    #: What the replacements before have added.
+    moved = running(F.transform("_new", lambda x: F.octet_length(x["new"]) - (x["e"] - x["b"])), F.lit(0), lambda a, x: a + x)
 
-    def step(acc, s):
-        source = byte_slice(value, s["byte_start"], s["byte_end"])
-        gap = byte_slice(value, acc["at"], s["byte_start"])
-        return let(F.struct(gap.alias("gap"), replacement(s["entity"], source, table).alias("new")), lambda x: let(acc["length"] + F.octet_length(x["gap"]), lambda from_: F.struct(
-            F.concat(acc["out"], x["gap"], x["new"]).alias("out"), s["byte_end"].alias("at"), (from_ + F.octet_length(x["new"])).alias("length"),
-            F.array_append(acc["items"], F.struct(s["entity"].alias("entity"), operator_name(s["entity"], table).alias("operator"), s["byte_start"].alias("source_byte_start"), s["byte_end"].alias("source_byte_end"),
-                from_.alias("replacement_byte_start"), (from_ + F.octet_length(x["new"])).alias("replacement_byte_end"), x["new"].alias("replacement"), order.alias("replacement_order"))).alias("items"))))
+    def described(x, by):
+        at = x["b"] + by
+        return F.struct(x["entity"].alias("entity"), operator_name(x["entity"], table).alias("operator"), x["b"].alias("source_byte_start"), x["e"].alias("source_byte_end"),
+            at.alias("replacement_byte_start"), (at + F.octet_length(x["new"])).alias("replacement_byte_end"), x["new"].alias("replacement"), order.alias("replacement_order"))
 
-    rows = rows.withColumn("_done", F.when(F.size("_chosen") > 0, F.aggregate("_chosen", start, step)))
-    tail = byte_slice(value, F.col("_done.at"), F.octet_length(value))
-    out = rows.withColumn("anonymized", F.when(F.col("_done").isNull(), value).otherwise(F.concat("_done.out", tail))).withColumn("items", F.coalesce("_done.items", F.array().cast(item)))
-    return out.drop("_chosen", "_done")
+    text_ = F.when(F.col("_new").isNull(), value).otherwise(spliced(data, F.col("_new"), lambda x: x["b"], lambda x: x["e"], lambda x: x["new"]))
+    items = F.when(F.col("_new").isNull(), F.array().cast(item)).otherwise(F.zip_with("_new", moved, described))
+    return rows.withColumn("anonymized", text_).withColumn("items", items).drop("_chosen", "_new", "_bytes")
 
 
 def anonymize_custom(docs: DataFrame, function, options: dict | None = None, key: str = "doc_id", text: str = "text", spans: str = "spans") -> DataFrame:
@@ -210,9 +219,9 @@ def anonymize_custom(docs: DataFrame, function, options: dict | None = None, key
     rows = rows.withColumn("new", custom(function, options)(byte_slice(F.col("_text"), F.col("s.byte_start"), F.col("s.byte_end")), F.col("s.entity")))
     lists = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", F.col("s.byte_start").alias("b"), F.col("s.byte_end").alias("e"), "new"))).alias("_new"))
     joined = docs.join(lists, key, "left")
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    done = F.aggregate("_new", start, lambda a, x: F.struct(F.concat(a["out"], byte_slice(value, a["at"], x["b"]), x["new"]).alias("out"), x["e"].alias("at")))
-    return joined.withColumn("_done", done).select(key, F.when(F.col("_new").isNull(), value).otherwise(F.concat("_done.out", byte_slice(value, F.col("_done.at"), F.octet_length(value)))).alias("anonymized"))
+    joined = joined.withColumn("_bytes", F.when(F.col("_new").isNotNull(), utf8(value)))
+    done = spliced(F.col("_bytes"), F.col("_new"), lambda x: x["b"], lambda x: x["e"], lambda x: x["new"])
+    return joined.select(key, F.when(F.col("_new").isNull(), value).otherwise(done).alias("anonymized"))
 
 
 def redact(docs: DataFrame, options=None, operators: Operators | None = None, conflict_strategy: str | bool = "aggressive", merge_ws: bool = False, text: str = "text") -> DataFrame:

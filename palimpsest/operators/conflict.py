@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from palimpsest.functions.spans import in_order, keep_greedily, length, let, overlaps, sort_by, update
+from palimpsest.functions.spans import by_run, greedily, in_order, keep_greedily, length, let, overlaps, update
 
 STRUCTURED = ["email", "phone", "credit_card", "iban", "us_ssn", "ip_address", "domain", "url"]
 STRATEGIES = ("none", "aggressive", "prefer_longer", "prefer_higher_confidence", "presidio_like")
@@ -19,36 +19,48 @@ def _tagged(spans: Column, policy: str, keep) -> Column:
 
 def prefer_longer(spans: Column) -> Column:
     order = lambda s: [-length(s), -s["score"], s["byte_start"], s["byte_end"], s["entity"]]
-    return _tagged(spans, "prefer_longer", lambda x: in_order(keep_greedily(sort_by(x, order))))
+    return _tagged(spans, "prefer_longer", lambda x: in_order(keep_greedily(x, order)))
 
 
 def prefer_higher_confidence(spans: Column) -> Column:
     order = lambda s: [-s["score"], -length(s), s["byte_start"], s["byte_end"], s["entity"]]
-    return _tagged(spans, "prefer_higher_confidence", lambda x: in_order(keep_greedily(sort_by(x, order))))
+    return _tagged(spans, "prefer_higher_confidence", lambda x: in_order(keep_greedily(x, order)))
+
+
+def _structured_beats_model(run: Column) -> Column:
+    rule = lambda s: s["entity"].isin(STRUCTURED) & (F.coalesce(s["recognizer"], F.lit("")) != "ner") & s["model_label"].isNull()
+    return let(run, lambda all_: F.filter(all_, lambda s: s["model_label"].isNull() | ~F.exists(all_, lambda r: rule(r) & overlaps(s, r))))
+
+
+def _without_exact_copies(run: Column) -> Column:
+    order = lambda s: [-s["score"], -length(s), s["byte_start"], s["byte_end"], s["entity"]]
+    same = lambda a, b: (a["byte_start"] == b["byte_start"]) & (a["byte_end"] == b["byte_end"]) & (a["entity"] == b["entity"])
+    return greedily(run, order, same)
+
+
+def _maximal_of_entity(run: Column) -> Column:
+    inside = lambda a, b: (a["entity"] == b["entity"]) & (a["byte_start"] >= b["byte_start"]) & (a["byte_end"] <= b["byte_end"]) & (length(a) < length(b))
+    return let(run, lambda all_: F.filter(all_, lambda s: ~F.exists(all_, lambda o: inside(s, o))))
 
 
 def structured_beats_model(spans: Column) -> Column:
     """Model spans that overlap a rule-based structured entity go."""
-    rule = lambda s: s["entity"].isin(STRUCTURED) & (F.coalesce(s["recognizer"], F.lit("")) != "ner") & s["model_label"].isNull()
-    return let(spans, lambda all_: F.filter(all_, lambda s: s["model_label"].isNull() | ~F.exists(all_, lambda r: rule(r) & overlaps(s, r))))
+    return by_run(spans, _structured_beats_model)
 
 
 def without_exact_copies(spans: Column) -> Column:
     """One span for each range and entity: the highest score, then the first."""
-    order = lambda s: [-s["score"], -length(s), s["byte_start"], s["byte_end"], s["entity"]]
-    same = lambda a, b: (a["byte_start"] == b["byte_start"]) & (a["byte_end"] == b["byte_end"]) & (a["entity"] == b["entity"])
-    return keep_greedily(sort_by(spans, order), same)
+    return by_run(spans, _without_exact_copies)
 
 
 def maximal_of_entity(spans: Column) -> Column:
     """Spans that no other span of their entity contains."""
-    inside = lambda a, b: (a["entity"] == b["entity"]) & (a["byte_start"] >= b["byte_start"]) & (a["byte_end"] <= b["byte_end"]) & (length(a) < length(b))
-    return let(spans, lambda all_: F.filter(all_, lambda s: ~F.exists(all_, lambda o: inside(s, o))))
+    return by_run(spans, _maximal_of_entity)
 
 
 def default(spans: Column) -> Column:
     """Structured beats model, exact copies, containment within an entity; overlaps of different entities stay."""
-    return _tagged(spans, "presidio_like", lambda x: in_order(maximal_of_entity(without_exact_copies(structured_beats_model(x)))))
+    return _tagged(spans, "presidio_like", lambda x: in_order(by_run(x, lambda run: _maximal_of_entity(_without_exact_copies(_structured_beats_model(run))))))
 
 
 def resolve(spans: Column, strategy: str | bool | None = "default") -> Column:
@@ -71,7 +83,7 @@ def discard_overlaps_by_label(spans: Column) -> Column:
     """Within a label, from the earliest and longest on, spans that overlap none kept."""
     order = lambda s: [s["byte_start"], -length(s)]
     clash = lambda a, b: (a["entity"] == b["entity"]) & overlaps(a, b)
-    return in_order(keep_greedily(sort_by(spans, order), clash))
+    return in_order(keep_greedily(spans, order, clash))
 
 
 def suppress(spans: Column, flat: bool = True, multi_label: bool = False) -> Column:
@@ -82,4 +94,4 @@ def suppress(spans: Column, flat: bool = True, multi_label: bool = False) -> Col
         hit = overlaps(a, b) if flat else overlaps(a, b) & (~nested | same)
         return hit & ~(same & (a["entity"] != b["entity"])) if multi_label else hit
 
-    return in_order(keep_greedily(sort_by(spans, lambda s: [-s["score"], s["byte_start"]]), clash))
+    return in_order(keep_greedily(spans, lambda s: [-s["score"], s["byte_start"]], clash))

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from palimpsest.functions.spans import FIELDS, let, update
-from palimpsest.functions.text import byte_slice, token_norms, tokens
+from palimpsest.functions.text import bytes_slice, token_norms, tokens, utf8
 
 
 @dataclass(frozen=True)
@@ -24,10 +24,10 @@ class ContextOptions:
     policies: dict = field(default_factory=dict)
 
 
-def byte_window(text: Column, start: Column, end: Column, size: int) -> Column:
-    """The text from size bytes before the span to size after it, the span included, cut to whole characters."""
-    from_, to = F.greatest(start - size, F.lit(0)), F.least(end + size, F.octet_length(text))
-    return F.regexp_replace(F.make_valid_utf8(byte_slice(text, from_, to)), "^�+|�+\\z", "")
+def byte_window(data: Column, start: Column, end: Column, size: int) -> Column:
+    """Of a text's bytes, from size bytes before the span to size after it, the span included, cut to whole characters."""
+    from_, to = F.greatest(start - size, F.lit(0)), F.least(end + size, F.octet_length(data))
+    return F.regexp_replace(F.make_valid_utf8(bytes_slice(data, from_, to)), "^�+|�+\\z", "")
 
 
 def surrounding_terms(toks: Column, start: Column, end: Column, before: int = 5, after: int = 5) -> Column:
@@ -42,9 +42,9 @@ def _word_hit(word: Column, terms: Column) -> Column:
     return let(F.filter(token_norms(word), lambda n: n != ""), lambda parts: (F.size(parts) > 0) & F.contains(joined(terms), joined(parts)))
 
 
-def matched_words(text: Column, toks: Column, s: Column, words: Column, o: ContextOptions) -> Column:
+def matched_words(data: Column, toks: Column, s: Column, words: Column, o: ContextOptions) -> Column:
     """The words found among the terms around the span, as runs of whole tokens; if none, those that the byte window contains."""
-    loose = let(F.lower(byte_window(text, s["byte_start"], s["byte_end"], o.window)), lambda low: F.filter(words, lambda w: F.contains(low, F.lower(w))))
+    loose = let(F.lower(byte_window(data, s["byte_start"], s["byte_end"], o.window)), lambda low: F.filter(words, lambda w: F.contains(low, F.lower(w))))
     if o.match == "substring":
         return loose
     terms = surrounding_terms(toks, s["byte_start"], s["byte_end"], o.prefix_count, o.suffix_count)
@@ -74,17 +74,23 @@ def _policy(s: Column, policies: dict) -> Column:
     return out
 
 
-def enhance(text: Column, spans: Column, o: ContextOptions, active: bool = True) -> Column:
-    """spans with scores after context. Without words of their own, from the options or by a policy, spans stay as they are."""
+def needed(spans: Column, o: ContextOptions) -> Column:
+    """Whether some span has words to look for: only then are the tokens of a text built."""
+    none = F.array().cast("array<string>")
+    return F.size(spans) > 0 if o.words or o.policies else F.exists(spans, lambda s: (F.size(F.coalesce(s["context_words"], none)) > 0) | (F.size(F.coalesce(s["negative_words"], none)) > 0))
+
+
+def enhance(text: Column, spans: Column, o: ContextOptions, active: bool = True, toks: Column | None = None, data: Column | None = None) -> Column:
+    """spans with scores after context. Without words of their own, from the options or by a policy, spans stay as they are. toks, data: the text's tokens (where ``needed``) and bytes, if they are at hand."""
     if not active or (not o.words and o.boost == 0 and not o.policies):
         return spans
     none = F.array().cast("array<string>")
     unique = lambda ws: F.aggregate(ws, none, lambda a, w: F.when(F.exists(a, lambda x: F.lower(x) == F.lower(w)), a).otherwise(F.array_append(a, w)))
 
-    def one(toks, raw):
+    def one(toks, data, raw):
         moved = _policy(raw, o.policies) if o.policies else raw
         return let(moved, lambda s: let(unique(F.concat(F.coalesce(s["context_words"], none), F.array(*map(F.lit, o.words)).cast("array<string>"))), lambda words: let(
-            F.struct(matched_words(text, toks, s, words, o).alias("for_"), F.coalesce(matched_words(text, toks, s, F.coalesce(s["negative_words"], none), o), none).alias("against")), lambda m: scored(raw, s, m["for_"], m["against"]))))
+            F.struct(matched_words(data, toks, s, words, o).alias("for_"), F.coalesce(matched_words(data, toks, s, F.coalesce(s["negative_words"], none), o), none).alias("against")), lambda m: scored(raw, s, m["for_"], m["against"]))))
 
     def scored(raw, s, matched, against):
         weak = F.coalesce(s["weak_words"], none)
@@ -101,10 +107,9 @@ def enhance(text: Column, spans: Column, o: ContextOptions, active: bool = True)
             negative_words=F.when(F.size(against) > 0, against),
         )
 
-    # The tokens of a text are built only where some span has words to look for.
-    needed = F.size(spans) > 0 if o.words or o.policies else F.exists(spans, lambda s: (F.size(F.coalesce(s["context_words"], none)) > 0) | (F.size(F.coalesce(s["negative_words"], none)) > 0))
     plain = F.transform(spans, lambda s: update(s, original_score=s["score"], negative_words=F.lit(None).cast(FIELDS["negative_words"])))
-    return F.when(needed, let(tokens(text), lambda toks: F.transform(spans, lambda raw: one(toks, raw)))).otherwise(plain)
+    bound = F.struct((tokens(text) if toks is None else toks).alias("toks"), (utf8(text) if data is None else data).alias("data"))
+    return F.when(needed(spans, o), let(bound, lambda x: F.transform(spans, lambda raw: one(x["toks"], x["data"], raw)))).otherwise(plain)
 
 
 def accepted(s: Column) -> Column:

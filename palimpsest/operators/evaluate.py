@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.numbers import f_beta, iou, precision, recall
-from palimpsest.functions.spans import let
-from palimpsest.functions.text import byte_slice, length_bucket, token_shape
+from palimpsest.functions.spans import cut_at, let
+from palimpsest.functions.text import bytes_slice, length_bucket, token_shape, utf8
 
 SKIP_WORDS = ("and", "at", "de", "del", "in", "la", "of", "the")
 _PAIR = "struct<entity:string,byte_start:int,byte_end:int,at:int>"
@@ -97,15 +97,18 @@ def merge_skip_words(text: Column, spans: Column, words: tuple[str, ...] = SKIP_
     """Spans of one entity with only punctuation, blanks or skip words between become one."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["entity"].alias("entity"), s["byte_start"].alias("byte_start"), s["byte_end"].alias("byte_end"), s["at"].alias("at"))))
 
-    def step(acc, s):
-        last = F.element_at(acc, -1)
-        between = F.lower(byte_slice(text, last["byte_end"], s["byte_start"]))
-        parts = F.filter(F.split(between, r"(?U)[\s,.\-:;()]+"), lambda w: w != "")
-        joins = (F.size(acc) > 0) & (last["entity"] == s["entity"]) & (last["byte_end"] <= s["byte_start"]) & F.forall(parts, lambda w: w.isin(*words))
-        grown = F.struct(last["entity"].alias("entity"), last["byte_start"].alias("byte_start"), s["byte_end"].alias("byte_end"), last["at"].alias("at"))
-        return F.when(F.coalesce(joins, F.lit(False)), F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), grown)).otherwise(F.array_append(acc, s))
+    def merged(data):
+        def begins(s, i, all_):
+            before = F.get(all_, i - 1)
+            between = F.lower(bytes_slice(data, before["byte_end"], s["byte_start"]))
+            parts = F.filter(F.split(between, r"(?U)[\s,.\-:;()]+"), lambda w: w != "")
+            return ~F.coalesce((before["entity"] == s["entity"]) & (before["byte_end"] <= s["byte_start"]) & F.forall(parts, lambda w: w.isin(*words)), F.lit(False))
 
-    return F.aggregate(ordered, F.array().cast(f"array<{_PAIR}>"), step)
+        first, last = (lambda run: F.element_at(run, 1)), (lambda run: F.element_at(run, -1))
+        one = lambda run: F.struct(first(run)["entity"].alias("entity"), first(run)["byte_start"].alias("byte_start"), last(run)["byte_end"].alias("byte_end"), first(run)["at"].alias("at"))
+        return F.transform(cut_at(ordered, begins), one)
+
+    return let(utf8(text), merged)
 
 
 def likely_cause(entity: Column, value: Column, kind: str) -> Column:

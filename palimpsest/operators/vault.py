@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.spans import let
+from palimpsest.functions.text import utf8
+from palimpsest.operators.anonymize import spliced
 
 
 @dataclass(frozen=True)
@@ -75,13 +77,10 @@ def pseudonymize(docs: DataFrame, key: str = "doc_id", order: str | None = None,
     named = rows.join(vault.select(*scope, "entity", "value", "token"), [*scope, "entity", "value"])
     keys = list(dict.fromkeys([*scope, key]))
     lists = named.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("b", "e", "token"))).alias("_new"))
-    from palimpsest.functions.text import byte_slice
-
     value = F.col(text)
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    done = F.aggregate("_new", start, lambda a, x: F.struct(F.concat(a["out"], byte_slice(value, a["at"], x["b"]), x["token"]).alias("out"), x["e"].alias("at")))
-    out = docs.join(lists, keys, "left").withColumn("_done", done)
-    return out.withColumn("anonymized", F.when(F.col("_new").isNull(), value).otherwise(F.concat("_done.out", byte_slice(value, F.col("_done.at"), F.octet_length(value))))).drop("_new", "_done"), vault
+    out = docs.join(lists, keys, "left").withColumn("_bytes", F.when(F.col("_new").isNotNull(), utf8(value)))
+    done = spliced(F.col("_bytes"), F.col("_new"), lambda x: x["b"], lambda x: x["e"], lambda x: x["token"])
+    return out.withColumn("anonymized", F.when(F.col("_new").isNull(), value).otherwise(done)).drop("_new", "_bytes"), vault
 
 
 def rehydrate(docs: DataFrame, vault: DataFrame, key: str = "doc_id", scope: list[str] | None = None, fmt: TokenFormat = TokenFormat(), text: str = "text", unknown: str = "keep") -> DataFrame:
@@ -93,13 +92,18 @@ def rehydrate(docs: DataFrame, vault: DataFrame, key: str = "doc_id", scope: lis
         raise ValueError("unknown must be keep or error")
     scope = scope or []
     keys = list(dict.fromkeys([*scope, key]))
-    found = docs.select(*keys, F.posexplode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(fmt.pattern()), F.lit(0)))).alias("at", "token"))
+    found = docs.select(*keys, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(fmt.pattern()), F.lit(0))).alias("at", "token"))
     named = found.join(vault.select(*scope, "token", "value"), [*scope, "token"], "left")
     if unknown == "error":
         named = named.withColumn("value", F.coalesce("value", F.raise_error(F.lit("unknown token")).cast("string")))
-    lists = named.filter(F.col("value").isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "token", "value"))).alias("_new"))
+    lists = named.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "token", "value"))).alias("_new"))
     out = docs.join(lists, keys, "left")
-    return out.withColumn("restored", F.when(F.col("_new").isNull(), F.col(text)).otherwise(F.aggregate("_new", F.col(text), lambda t, x: F.replace(t, x["token"], x["value"])))).drop("_new")
+    #: In turn over the whole text only where a value holds a token itself; else one pass, with the values in the order of their tokens.
+    known = F.array_distinct(F.transform(F.filter("_new", lambda x: x["value"].isNotNull()), lambda x: F.struct(x["token"], x["value"])))
+    in_turn = F.aggregate(known, F.col(text), lambda t, x: F.replace(t, x["token"], x["value"]))
+    once = F.array_join(F.zip_with(F.split(F.col(text), fmt.pattern(), -1), F.col("_new"), lambda g, x: F.concat(g, F.coalesce(x["value"], x["token"], F.lit("")))), "")
+    nested = F.exists("_new", lambda x: F.coalesce(x["value"].rlike(fmt.pattern()), F.lit(False)))
+    return out.withColumn("restored", F.when(F.col("_new").isNull(), F.col(text)).when(nested, in_turn).otherwise(once)).drop("_new")
 
 
 def rehydrate_once(text: Column, table: Column, fmt: TokenFormat = TokenFormat()) -> Column:

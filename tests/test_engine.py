@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.functions import spans
 from palimpsest.functions import text as X
 from palimpsest.functions import validators as V
 from palimpsest.functions.spans import span
@@ -283,3 +284,59 @@ def test_logs_and_telemetry():
 def test_validators(spark):
     ips = spark.createDataFrame([(v,) for v in ("1.2.3.4", "1.2.3.256", "1.2.3.08", "::", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7", "1::2:3:4:5:6:7:8", "12345::1")], "v string")
     assert [r.x for r in ips.select(V.ip_address(F.col("v")).alias("x")).collect()] == [True, False, False, True, True, False, False, False]
+
+
+# --- long rows -------------------------------------------------------------------------------------------------------
+
+
+def test_running_totals(spark):
+    r = random.Random(2)
+    for n in (0, 1, 63, 64, 65, 4096, 4097, 9000):
+        values = [r.randrange(100) for _ in range(n)]
+        row = spark.createDataFrame([(values,)], "v array<int>").select(
+            spans.running(F.col("v"), F.lit(0), lambda a, x: a + x).alias("s"), spans.running(F.col("v"), F.lit(-1), lambda a, x: F.greatest(a, x), levels=1).alias("m")
+        ).first()
+        assert row.s == [sum(values[:i]) for i in range(n)] if n < 5000 else row.s[-1] == sum(values[:-1])
+        assert row.m == [max(values[:i], default=-1) for i in range(n)] if n < 5000 else row.m[-1] == max(values[:-1])
+
+
+def test_matches_of_a_long_text(spark):
+    words = [f"tök{i}" for i in range(60_000)]
+    got = spark.createDataFrame([(" ".join(words),), ("",), (None,), ("no match: --",)], "t string").select(X.matches(F.col("t"), r"tök[0-9]+").alias("m")).collect()
+    at, want = 0, []
+    for w in words:
+        size = len(w.encode())
+        want.append((at, at + size, w))
+        at += size + 1
+    assert [tuple(m) for m in got[0].m] == want and [not r.m for r in got[1:]] == [True] * 3
+
+
+def test_greedy_choice_by_runs_is_that_over_all(spark):
+    r = random.Random(4)
+    rows = []
+    for _ in range(60):
+        row = []
+        for _ in range(r.randrange(0, 40)):
+            b = r.randrange(200)
+            row.append((b, b + r.randrange(1, 12), round(r.random(), 2), r.choice("ab")))
+        rows.append(row)
+    made = F.transform("r", lambda x: spans.span(byte_start=x["b"], byte_end=x["e"], score=x["s"], entity=x["k"]))
+    key = lambda s: [-s["score"], -spans.length(s), s["byte_start"], s["byte_end"], s["entity"]]
+    df = spark.createDataFrame([(x,) for x in rows], "r array<struct<b:int,e:int,s:double,k:string>>")
+    got = df.select(spans.in_order(spans.keep_greedily(made, key)).alias("x")).collect()
+    for row, kept in zip(rows, got):
+        want = []
+        for b, e, s, k in sorted(row, key=lambda x: (-x[2], x[0] - x[1], x[0], x[1], x[3])):
+            if all(e <= b2 or e2 <= b for b2, e2, _, _ in want):
+                want.append((b, e, s, k))
+        assert [(x.byte_start, x.byte_end, x.score, x.entity) for x in kept.x] == sorted(want, key=lambda x: (x[0], x[1], x[3]))
+
+
+def test_rewriting_a_text_with_many_spans(spark):
+    text = " ".join(f"user{i}@mail.example.com" for i in range(3000))
+    row = A.redact(spark.createDataFrame([(1, text)], "doc_id long, text string"), Options(entities=("email",)), merge_ws=False).first()
+    assert row.anonymized == " ".join(["[EMAIL]"] * 3000) and len(row["items"]) == 3000
+    data = row.anonymized.encode()
+    assert all(data[x.replacement_byte_start : x.replacement_byte_end] == b"[EMAIL]" for x in row["items"])
+    one = A.redact(spark.createDataFrame([(1, text)], "doc_id long, text string"), Options(entities=("email",)), merge_ws=True).first()
+    assert one.anonymized == "[EMAIL]"
