@@ -55,8 +55,9 @@ def graphemes(text: Column) -> Column:
 
 
 def grapheme_to_byte(text: Column, at: Column) -> Column:
-    """The byte offset of a grapheme offset."""
-    return F.octet_length(F.array_join(F.slice(graphemes(text), F.lit(1), at), ""))
+    """The byte offset of a grapheme offset (that of the end beyond it). Only the text before it is looked at."""
+    pattern = F.concat(F.lit(r"\A\X{0,"), F.greatest(at, F.lit(0)).cast("string"), F.lit("}+"))
+    return F.octet_length(F.call_function("regexp_extract", text, pattern, F.lit(0)))
 
 
 def matches(text: Column, regex: str) -> Column:

@@ -6,14 +6,13 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
 from palimpsest.operators import anonymize as A
-from palimpsest.operators import conflict as J
 from palimpsest.operators import evaluate as E
 from palimpsest.operators import model as M
 from palimpsest.operators import statistics as S
 from palimpsest.operators import vault as K
 from palimpsest.operators.analyze import Options, analyze
-from palimpsest.plans import profiles
-from palimpsest.plans.queries import EMAIL_SQL, constant, detected, emails, query, span_table, spans_sql, table, values_sql
+from palimpsest.plans import span_queries  # noqa: F401  registers its queries
+from palimpsest.plans.queries import EMAIL_SQL, detected, emails, query, spans_sql, table
 from palimpsest.sources import datasets
 
 
@@ -61,14 +60,6 @@ def o03_replace(spark, sf_dir):
     return done.select("doc_id", F.explode("items").alias("i")).select("doc_id", "i.replacement", "i.source_byte_start")
 
 
-_NUMBERS = [("email", 1), ("email", 999), ("us_ssn", 1000), ("url", 12345)]
-
-
-@query(f"WITH {values_sql([('email', 1, '<<EMAIL_001>>'), ('email', 999, '<<EMAIL_999>>'), ('us_ssn', 1000, '<<US_SSN_1000>>'), ('url', 12345, '<<URL_12345>>')], 'entity string, counter int, token string', 't')} SELECT * FROM t")
-def k02_tokens(spark, sf_dir):
-    return constant(spark, _NUMBERS, "entity string, counter int").withColumn("token", K.TokenFormat().token(F.col("entity"), F.col("counter")))
-
-
 @query(f"WITH {spans_sql(EMAIL_SQL)} SELECT DISTINCT value, true AS known FROM s")
 def k03_lookup(spark, sf_dir):
     rows = detected(spark, sf_dir, emails()).select("doc_id", F.col("byte_start").alias("b"), F.lit("email").alias("entity"), "value")
@@ -85,9 +76,9 @@ def a04_by_template(spark, sf_dir):
     return E.corpus_scores(scored, "lang").select("lang", "samples", "tp")
 
 
-@query(f"WITH {spans_sql(EMAIL_SQL)} SELECT 'email' AS entity, 'fp' AS kind, 'ambiguous_number' AS cause, count(*)::BIGINT AS count FROM s WHERE regexp_matches(value, '[0-9]') HAVING count(*) > 0")
+@query(f"WITH {spans_sql(EMAIL_SQL)} SELECT 'email' AS entity, 'fp' AS kind, CASE WHEN regexp_matches(value, '[0-9]') THEN 'ambiguous_number' ELSE 'ambiguous_text' END AS cause, count(*)::BIGINT AS count FROM s GROUP BY ALL")
 def a06_error_buckets(spark, sf_dir):
-    errors = detected(spark, sf_dir, emails()).filter(F.col("value").rlike("[0-9]")).select("entity", F.lit("fp").alias("kind"), "value")
+    errors = detected(spark, sf_dir, emails()).select("entity", F.lit("fp").alias("kind"), "value")
     return E.error_buckets(errors).select("entity", "kind", "cause", "count")
 
 
@@ -96,18 +87,9 @@ def a14_throughput(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(S.throughput(F.count("*"), F.lit(3600.0)), 6).alias("per_second"))
 
 
-_TRENDS = [("up", 1.0, 0.9, 5e6, 1e6), ("down", -1.0, 0.9, -5e6, 1e6), ("noise", 1.0, 0.9, 1e6, 1e6), ("loose", 1.0, 0.1, 5e6, 1e6)]
-
-
-@query(f"WITH {values_sql([('up', 'growing'), ('down', 'shrinking'), ('noise', 'stable'), ('loose', 'stable')], 'name string, trend string', 't')} SELECT * FROM t")
-def a17_trend(spark, sf_dir):
-    rows = constant(spark, _TRENDS, "name string, slope double, r2 double, growth double, baseline double")
-    return rows.select("name", S.trend(F.col("slope"), F.col("r2"), F.col("growth"), F.col("baseline")).alias("trend"))
-
-
-@query("SELECT event_type, round(avg(p), 6) AS mean_percentile, true AS stable_output FROM (SELECT event_type, user_id % 3 AS r, quantile_disc(value, 0.95) AS p FROM events WHERE value IS NOT NULL GROUP BY 1, 2) GROUP BY 1")
+@query("SELECT event_type, round(avg(p), 6) AS mean_percentile, event_type <> 'click' AS stable_output FROM (SELECT event_type, user_id % 3 AS r, quantile_disc(value, 0.95) AS p FROM events WHERE value IS NOT NULL GROUP BY 1, 2) GROUP BY 1")
 def a19_repetitions(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("value is not null").withColumn("r", F.col("user_id") % 3).withColumn("fp", F.lit("x"))
+    e = table(spark, sf_dir, "events").filter("value is not null").withColumn("r", F.col("user_id") % 3).withColumn("fp", F.when(F.col("event_type") == "click", F.col("r").cast("string")).otherwise("x"))
     return S.mean_of_repetitions(e, "r", "value", 0.95, "fp", "event_type").withColumn("mean_percentile", F.round("mean_percentile", 6))
 
 
@@ -116,51 +98,15 @@ def w03_halves(spark, sf_dir):
     return S.halves(table(spark, sf_dir, "events"), "event_id", "event_type").groupBy("event_type", "half").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {values_sql([('B-PER', 0.5), ('PER', 0.5), ('I-LOC', 0.3), ('X', 0.7)], 'label string, threshold double', 't')} SELECT * FROM t")
-def m02_thresholds(spark, sf_dir):
-    rows = constant(spark, [("B-PER", "person"), ("PER", "person"), ("I-LOC", "location"), ("X", "other")], "label string, entity string")
-    return rows.select("label", M.threshold(F.col("label"), F.col("entity"), {"PER": 0.5}, {"location": 0.3}, 0.7).alias("threshold"))
-
-
-@query(f"WITH {values_sql([('A', True), ('B', False), ('C', True)], 'label string, gated boolean', 't')} SELECT * FROM t")
-def m03_gates(spark, sf_dir):
-    rows = constant(spark, [("A", "x", 0.99), ("B", "x", 0.6), ("C", "y", 0.6)], "label string, entity string, score double")
-    return rows.select("label", M.requires_context(F.col("label"), F.col("entity"), F.col("score"), ("A",), {}, {"y": 0.8, "x": 0.5}).alias("gated"))
-
-
 @query("SELECT doc_id, (strlen(text) // 256)::BIGINT AS window, (CASE WHEN strlen(text) <= 192 THEN 192 WHEN strlen(text) <= 256 THEN 256 WHEN strlen(text) <= 384 THEN 384 WHEN strlen(text) <= 512 THEN 512 ELSE 768 END)::INT AS bucket FROM documents")
 def m13_m14_windows(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("pos"))
     return M.windows(rows, 256).select("doc_id", F.col("window").cast("long").alias("window"), M.bucket(F.col("pos"), [192, 256, 384, 512, 768]).cast("int").alias("bucket"))
 
 
-@query(f"WITH {values_sql([('p', 0, 1), ('q', 1, 3)], 'label string, start int, e int', 't')} SELECT label, start, e AS \"end\" FROM t")
-def m10_span_logits(spark, sf_dir):
-    rows = spark.createDataFrame([(0, 3, [9.0, -9.0, -9.0, -9.0, -9.0, -9.0, -9.0, 9.0, -9.0, -9.0, 9.0, 9.0])], "doc_id int, n_words int, logits array<double>")
-    return M.decode_span_logits(rows, 2, ["p", "q"]).filter("end <= 3").select("label", "start", "end")
-
-
-@query(f"WITH {values_sql([(1, -0.2)], 'doc_id int, mean double', 't')} SELECT * FROM t")
-def m19_log_prob_filter(spark, sf_dir):
-    rows = spark.createDataFrame([(1, 0, 2, [-0.1, -0.3, -9.0]), (2, 1, 3, [-0.1, -0.3, -9.0])], "doc_id int, start int, end int, log_probs array<double>")
-    return M.mean_log_prob_filter(rows, -1.0).select("doc_id", F.round("mean_log_prob", 6).alias("mean"))
-
-
-
-
-@query("SELECT doc_id, (len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+(?:[-_][\\p{L}\\p{N}_]+)*|\\S')))::BIGINT AS words FROM documents")
+@query("SELECT doc_id, len(w)::BIGINT AS words, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}_]+(?:[-_][\\p{L}\\p{N}_]+)*|\\S') AS w FROM documents)")
 def f07_model_words(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(X.model_words(F.col("text"))).cast("long").alias("words"))
-
-
-@query()
-def j16_j17_suppression(spark, sf_dir):
-    rows = span_table(spark)
-    one = rows.select("doc_id", F.size(J.discard_overlaps_by_label(F.col("spans"))).alias("by_label"), F.size(J.suppress(F.col("spans"))).alias("flat"), F.size(J.suppress(F.col("spans"), flat=False)).alias("nested"))
-    return one
+    words = X.model_words(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(words).cast("long").alias("words"), F.md5(F.array_join(words, " ")).alias("digest"))
 
 
-@query("SELECT count(*) AS labels, sum(CASE WHEN x THEN 1 ELSE 0 END)::BIGINT AS base FROM (SELECT unnest([true, true, false]) AS x) WHERE false OR true")
-def p10_supported_split(spark, sf_dir):
-    rows = constant(spark, [("email",), ("url",), ("blood_type",)], "entity string")
-    return rows.agg(F.count("*").alias("labels"), F.sum(profiles.supported(F.col("entity"), "regex_only").cast("int")).alias("base"))
