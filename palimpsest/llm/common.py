@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
+import re
 import tempfile
 import uuid
 
@@ -17,17 +21,27 @@ _roots: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a temporary one, in local mode only: there the driver is the executor."""
     app = spark.sparkContext.applicationId
     if app not in _roots:
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not root:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             root = tempfile.mkdtemp(prefix="palimpsest-")
             spark.sparkContext.setCheckpointDir(root)
         _roots[app] = root.rstrip("/")
+        atexit.register(sweep, f"{_roots[app]}/palimpsest/{app}")
     return _roots[app]
 
 
+def sweep(folder: str) -> None:
+    """Delete what an application has written for its own use, when it ends. Results that are to stay are written elsewhere by the caller."""
+    with contextlib.suppress(Exception):  # the file system may be gone by then
+        fs, at = filesystem(folder)
+        fs.delete_dir(at)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, for one table or set of files."""
     return f"{shared_root(spark)}/palimpsest/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
@@ -42,11 +56,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds, so that long texts cannot add up to more than a worker's memory."""
+    """Bound what one Arrow batch holds, so that long texts cannot add up to more than a worker's memory. Holds for the rest of the session: plans that are run later read the settings then."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH_BYTES)
 
 
+def tidy(run):
+    """run, a function of batches, after which its worker process returns the memory that it no longer uses: it lives on, beside other tasks."""
+
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     """A pyarrow file system and the path in it, for any scheme that pyarrow knows."""
     return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else path.replace("file:/", "file:///", 1))

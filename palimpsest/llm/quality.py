@@ -9,7 +9,7 @@ The document is kept if the base rules hold and its remaining lines have at leas
 
 Base rules: ``n_words >= 10``, and at most a fifth of the words inside 5-word windows that occur again in the text.
 
-Defined results: a null text has no words and fails; repeated rows get equal rows; one line of any length is one line; extra columns are not read.
+Defined results: a null text has no words and fails; repeated rows get equal rows; one line of any length is one line; a null doc_id is a row like any other; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import bounded_batches
+from palimpsest.llm.common import bounded_batches, tidy
 
 LEAST_WORDS = 10
 MOST_REPEATED = 20
@@ -114,4 +114,4 @@ def evaluate(docs: DataFrame, with_text: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, *extra], names=[*names, *["clean_text"] * with_text])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, _OUT + ", clean_text string" * with_text)
+    return rows.mapInArrow(tidy(run), _OUT + ", clean_text string" * with_text)

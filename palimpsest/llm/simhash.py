@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import batch, bounded_batches, materialize
+from palimpsest.llm.common import batch, bounded_batches, materialize, tidy
 
 SEED = 42
 WIDTH = 3
@@ -40,27 +40,30 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _HASHES_AT_ONCE = 1 << 16
 
 
-def fingerprint(text: str | None, width: int = WIDTH) -> int:
-    """The unsigned 64-bit fingerprint of one text."""
-    if not text:
-        return 0
-    words = _WORD.findall(text.encode("utf-8", "surrogatepass").translate(_LOWER))
+def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The hashes of the shingles of one text in order, repeats included."""
+    words = _WORD.findall(text.encode("utf-8", "surrogatepass").translate(_LOWER)) if text else []
     n = len(words)
     if not n:
-        return 0
-    joined = b" ".join(words)
-    if n <= width:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    width = min(width, n)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    count = n - width + 1
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[: n - width + 1].tolist(), ends[width - 1 :].tolist())), np.uint64, n - width + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in more than half of the hashes."""
     bits = np.zeros(64, np.int64)
-    digest = xxhash.xxh64_intdigest
-    for at in range(0, count, _HASHES_AT_ONCE):
-        to = min(count, at + _HASHES_AT_ONCE)
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at:to].tolist(), ends[at + width - 1 : to + width - 1].tolist())], dtype=">u8")
-        bits += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * bits > count).tobytes(), "big")
+    for at in range(0, len(hashes), _HASHES_AT_ONCE):
+        bits += np.unpackbits(hashes[at : at + _HASHES_AT_ONCE].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * bits > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, width: int = WIDTH) -> int:
+    """The unsigned 64-bit fingerprint of one text."""
+    return majority(shingle_hashes(text, width))
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -73,7 +76,7 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             fps = np.fromiter((fingerprint(t, width) for t in b.column("text").to_pylist()), np.uint64, b.num_rows)
             yield batch(schema, doc_id=b.column("doc_id"), text_hash=b.column("text_hash"), fp=fps.view(np.int64))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, text_hash long, fp long")
 
 
 # --- the index over one set of search spaces -------------------------------------------------------------------------
@@ -238,7 +241,7 @@ def local_links(distinct: DataFrame, radius: int = RADIUS, limit: int = LIMIT) -
             yield links(held)
 
     spaces = search_spaces(distinct, radius, limit)
-    return spaces.repartition("fixed", "value").sortWithinPartitions("fixed", "value").mapInArrow(run, "a long, b long").distinct()
+    return spaces.repartition("fixed", "value").sortWithinPartitions("fixed", "value").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 # --- connected components --------------------------------------------------------------------------------------------
@@ -253,14 +256,15 @@ def _least_neighbour(pairs: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node reachable) for the nodes of edges(a, b): large-star and small-star steps until nothing changes."""
     stars = materialize(edges.filter("a <> b").select("a", "b").distinct(), "edges")
-    before = None
+    of = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    before = of(stars)  # edges to the least member of each class are stars already
     while True:
         both = stars.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(stars.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = _least_neighbour(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         lower = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         small = _least_neighbour(lower)
         stars = materialize(small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(small.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct(), "stars")
-        state = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        state = of(stars)
         if state == before:
             return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = state

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import batch, bounded_batches, filesystem, materialize, put_file, scratch
+from palimpsest.llm.common import batch, bounded_batches, filesystem, materialize, put_file, scratch, tidy
 
 END_ID = 0
 #: Ids in a block before it is closed.
@@ -353,7 +353,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
 
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tie"))
     dealt = dealt.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    return materialize(dealt.mapInArrow(run, _MANIFEST), "manifest")
+    return materialize(dealt.mapInArrow(tidy(run), _MANIFEST), "manifest")
 
 
 def read_shards(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
@@ -383,7 +383,7 @@ def read_shards(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
 
     out = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
     tasks = min(count, max(4 * spark.sparkContext.defaultParallelism, count // 32))
-    return blocks.repartition(max(1, tasks)).mapInArrow(run, out)
+    return blocks.repartition(max(1, tasks)).mapInArrow(tidy(run), out)
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:

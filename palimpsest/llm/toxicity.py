@@ -1,6 +1,6 @@
 """Toxicity by a classifier chain of linear models over words.
 
-The categories stand in order (by default: low quality, then toxic). Each is a logistic regression on the presence of
+The categories stand in order (by default: low quality, then toxic; the labels hold no other toxicity category, so ``toxic`` is the only one that is one). With ``categories`` a chain of any length is fitted. Each is a logistic regression on the presence of
 selected words and on the probabilities of the categories before it. A later model is trained with out-of-fold probabilities of the earlier ones, so
 that it sees them as they will be on new text; the models that predict are fitted on all rows of the sample.
 
@@ -10,7 +10,8 @@ counts over the whole sample, and beyond chance. The threshold of the last categ
 Prediction covers the whole text of every document and needs no shuffle.
 
 Defined results: a null or wordless text has the probabilities of a document without any known word and is never toxic; repeated rows get
-equal rows; null labels are not used, of several labels of a document the largest counts; without usable labels all probabilities are 0 and nothing is toxic.
+equal rows; null labels are not used, of several labels of a document the largest counts; without usable labels all probabilities are 0 and nothing is toxic; a null doc_id
+has no label but is predicted; whole texts are read, however long; empty documents give no rows; columns named like the ones used here stay as they are in ``without_toxic``.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import bounded_batches, materialize
+from palimpsest.llm.common import bounded_batches, materialize, tidy
 
 #: Name of the category, the column of the labels and the value that stands for it.
 CATEGORIES = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
@@ -152,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample_rows:
             )
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = text.join(F.broadcast(chosen), text.doc_id == F.col("_id")).drop("_id").mapInArrow(run, schema)
+    sample = text.join(F.broadcast(chosen), text.doc_id == F.col("_id")).drop("_id").mapInArrow(tidy(run), schema)
     sample = materialize(sample, "sample")
     groups = sample.select("doc_id", F.posexplode("sketches").alias("k", "sketch"))
     least = groups.groupBy("k", "sketch").agg(F.min("doc_id").alias("first"), F.collect_set("doc_id").alias("ids"))  # of the bounded sample
@@ -195,7 +196,7 @@ def scores(docs: DataFrame, chain: Chain | None, categories=CATEGORIES, keep: li
             p, hit = chain.predict(b.column("_text").to_pylist())
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *[pa.array(p[:, i]) for i in range(len(names))], pa.array(hit)], names=[*keep, *names, last])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
