@@ -1,18 +1,19 @@
 """WARC archives: a writer, and a reader that splits gzip archives at any byte.
 
 Writer: a gzip member for each record. Of pages with equal payloads of ``REVISIT_BYTES`` or more, the largest page_id is stored as a response and the
-others as revisits that refer to it. Copies are found on digests; the join key differs from the aggregate's, so both sides are dealt by it and the
+others as revisits that refer to it. Only those can have a copy; shorter ones are written where they are read. Copies are found on digests; the join key differs from the aggregate's, so both sides are dealt by it and the
 adaptive planner can split a digest that a large part of the pages share.
 
-Reader: a task takes a byte range, looks for the gzip magic, and accepts a candidate only if it inflates to a WARC header. It owns the
+Reader: a task takes a byte range, looks for the gzip magic, and accepts a candidate only if it inflates to a WARC header and another member or the end follows. It owns the
 members that start inside its range and reads the last one beyond the range's end. The position after a member is known from inflating it, so
-magic bytes inside a member's data are met only before the first member of a range, where the header check rejects them.
-Damaged members are passed over.
+magic bytes inside a member's data are met only before the first member of a range, where these checks reject them.
+Damaged members are passed over (and one before which nothing was read, if the next one's magic is damaged).
 
 Files are reached through pyarrow's file systems (local paths, hdfs, s3, gs); tasks write below a folder of the shared scratch space.
 
 Defined results: a null html is an empty payload; a null url gives a record without target; a null page_id is kept as null, and the
-response of its group if all are null; rows of one page_id and payload that repeat have one type; an empty table gives no archives and no records.
+response of its group if all are null; rows of one page_id and payload that repeat have one type; very long payloads are stored whole; an empty table gives no archives and no records. Of pages, page_id, url and
+html are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import batch, bounded_batches, filesystem, materialize, put_file, scratch
+from palimpsest.llm.common import batch, bounded_batches, filesystem, materialize, put_file, scratch, tidy
 
 REVISIT_BYTES = 1000
 SPLIT_BYTES = 8 << 20
@@ -108,29 +109,37 @@ def _inflate(read, at: int, size: int) -> tuple[bytes, int] | None:
 
 
 def members(read, size: int, start: int, end: int):
-    """(offset, content) of each valid member that starts in [start, end). read(at, n) gives bytes of the archive."""
-    at: int | None = start
-    while at is not None and at < end:
-        at = _find(read, at, min(end, size), size)
-        if at is None:
+    """(offset, content) of each valid member that starts in [start, end). read(at, n) gives bytes of the archive.
+
+    The first byte of the archive and the end of a member are places where members begin. A candidate found by looking for the magic has to be
+    followed by another member or the end of the archive, which what is stored inside a member is not.
+    """
+    at, known = start, start == 0
+    while at < end:
+        place = _find(read, at, min(end, size), size)
+        if place is None:
             return
-        found = _inflate(read, at, size)
-        if found is None:
-            at += 1
+        known = known and place == at
+        found = _inflate(read, place, size)
+        if found is None or not (known or found[1] >= size or read(found[1], len(MAGIC)) == MAGIC):
+            at, known = place + 1, False
         else:
-            yield at, found[0]
-            at = found[1]
+            yield place, found[0]
+            at, known = found[1], True
 
 
 def archive_rows(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """page_id, url, payload (null for a revisit), payload_bytes, digest, refers_to, revisit."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).withColumns({"payload_bytes": F.octet_length("html").cast("long"), "digest": F.sha1("html")})
-    copies = rows.filter(F.col("payload_bytes") >= revisit_bytes).groupBy(F.unhex("digest").alias("sha")).agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    long = rows.filter(F.col("payload_bytes") >= revisit_bytes)
+    copies = long.groupBy(F.unhex("digest").alias("sha")).agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     copies = copies.select(F.lower(F.hex("sha")).alias("of"), "first")
-    joined = rows.join(copies, rows.digest == copies.of, "left")
+    joined = long.join(copies, long.digest == copies.of, "left")
     revisit = F.col("of").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return joined.select("page_id", "url", F.when(~revisit, F.col("html")).alias("payload"), "payload_bytes", "digest", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
+    found = joined.select("page_id", "url", F.when(~revisit, F.col("html")).alias("payload"), "payload_bytes", "digest", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
+    short = rows.filter(F.col("payload_bytes") < revisit_bytes).select("page_id", "url", F.col("html").alias("payload"), "payload_bytes", "digest", F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("revisit"))
+    return found.unionByName(short)
 
 
 def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
@@ -154,7 +163,7 @@ def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_B
         if first is not None:
             yield batch(schema, path=[path], size=[put_file(path, (x for part in ((first,), made) for x in part))])
 
-    return materialize(archive_rows(pages, revisit_bytes).mapInArrow(run, "path string, size long"), "archives")
+    return materialize(archive_rows(pages, revisit_bytes).mapInArrow(tidy(run), "path string, size long"), "archives")
 
 
 def _page(urn: str | None) -> int | None:
@@ -205,7 +214,7 @@ def read_archives(files: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bo
 
     ranges = files.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
     count = files.filter("size > 0").agg(F.sum(F.ceil(F.col("size") / split_bytes))).first()[0] or 1
-    return ranges.repartition(min(int(count), 20_000)).mapInArrow(run, _RECORD)
+    return ranges.repartition(int(count)).mapInArrow(tidy(run), _RECORD)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
