@@ -35,14 +35,27 @@ class MemoryVault(VaultBackend):
 
 
 class TableVault(VaultBackend):
-    """Parquet generations below a path; the last whole one counts, so a failed save leaves the one before."""
+    """Parquet generations below a path; the last whole one counts, so a failed save leaves the one before. A vault that is opened again goes on from what is there."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.generation = spark, path, 0
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _generations(self) -> tuple[int, int]:
+        """The number of the last whole generation (0: none), and of the last one that was begun."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+        begun = sorted(int(n) for n in names if n.isdigit())
+        whole = [n for n in begun if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n:06d}/_SUCCESS"))]
+        return whole[-1] if whole else 0, begun[-1] if begun else 0
+
+    @property
+    def generation(self) -> int:
+        return self._generations()[0]
 
     def load(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{self.generation:06d}") if self.generation else self.spark.createDataFrame([], SCHEMA)
+        n = self.generation
+        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{n:06d}") if n else self.spark.createDataFrame([], SCHEMA)
 
     def save(self, vault: DataFrame) -> None:
-        vault.write.parquet(f"{self.path}/{self.generation + 1:06d}")
-        self.generation += 1
+        vault.select(*[c.split()[0] for c in SCHEMA.split(", ")]).write.parquet(f"{self.path}/{self._generations()[1] + 1:06d}")

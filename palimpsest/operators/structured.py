@@ -19,24 +19,28 @@ MAX_DEPTH = 20
 
 
 def leaves(docs: DataFrame, column: str, key: str = "doc_id", max_depth: int = MAX_DEPTH) -> DataFrame:
-    """key, path (array of strings), value, kind of each leaf of a JSON column. Depth beyond max_depth ends the query."""
+    """key, path (array of strings), value, kind (string, other or empty), marks (for each step of the path k, a key, or i, an index) of each leaf of a JSON column, in order of ``at``.
 
-    @F.pandas_udf("array<struct<path:array<string>,value:string,kind:string>>")
+    An empty object or list is a leaf. Depth beyond max_depth ends the query.
+    """
+
+    @F.pandas_udf("array<struct<path:array<string>,value:string,kind:string,marks:string,at:int>>")
     def walk(texts: pd.Series) -> pd.Series:
-        def down(x, path, out):
+        def down(x, path, marks, out):
             if len(path) > max_depth:
                 raise ValueError("max_depth_exceeded")
-            if isinstance(x, dict):
+            if isinstance(x, dict) and x:
                 for k, v in x.items():
-                    down(v, [*path, k], out)
-            elif isinstance(x, list):
+                    down(v, [*path, k], marks + "k", out)
+            elif isinstance(x, list) and x:
                 for i, v in enumerate(x):
-                    down(v, [*path, str(i)], out)
+                    down(v, [*path, str(i)], marks + "i", out)
             else:
-                out.append((path, x if isinstance(x, str) else json.dumps(x), "string" if isinstance(x, str) else "other"))
+                kind = "string" if isinstance(x, str) else "empty" if isinstance(x, (dict, list)) else "other"
+                out.append((path, x if isinstance(x, str) else json.dumps(x), kind, marks, len(out)))
             return out
 
-        return texts.map(lambda t: down(json.loads(t), [], []) if t else [])
+        return texts.map(lambda t: down(json.loads(t), [], "", []) if t else [])
 
     return docs.select(key, F.explode(walk(F.col(column))).alias("x")).select(key, "x.*")
 
@@ -47,7 +51,7 @@ def redact_leaves(rows: DataFrame, policies: dict[str, object] | None = None, op
     Keys that are sensitive by name are replaced whatever their type; text leaves else go through analysis and rewriting. A dry run changes nothing but what drop and replace say.
     """
     policies = policies or {}
-    name = F.element_at("path", -1)
+    name = F.try_element_at("path", F.lit(-1))
     action, new = F.lit("analyze"), F.lit(None).cast("string")
     for k in SENSITIVE:
         if k not in policies:
@@ -70,6 +74,58 @@ def redact_leaves(rows: DataFrame, policies: dict[str, object] | None = None, op
     return done.withColumn("new_value", text).drop("_text", "anonymized", "spans", "error")
 
 
+def renest(rows: DataFrame, key: str = "doc_id", value: str = "new_value") -> DataFrame:
+    """key, json: the documents of redact_leaves() again, with the new values; leaves that were dropped are gone from their object or list. One document's leaves meet in a task."""
+
+    @F.pandas_udf("string")
+    def build(lists: pd.Series) -> pd.Series:
+        def one(leaves_):
+            root, places = [None], {}  # a list of one, so that a document that is a single value is built alike; place of each index that is left in its list
+            for leaf in sorted(leaves_, key=lambda x: x["at"]):
+                if leaf["action"] == "drop":
+                    continue
+                where, step = root, 0
+                for name, mark in zip(leaf["path"], leaf["marks"]):
+                    if where[step] is None:
+                        where[step] = {} if mark == "k" else []
+                    where = where[step]
+                    if mark == "k":
+                        where.setdefault(name, None)
+                        step = name
+                    else:
+                        step = places.setdefault((id(where), name), len(where))
+                        if step == len(where):
+                            where.append(None)
+                text, typed = leaf["value"], leaf["kind"] != "string" and leaf["action"] in ("opaque", "keep")
+                where[step] = json.loads(text) if typed and text is not None else text
+            return json.dumps(root[0], ensure_ascii=False)
+
+        return lists.map(lambda x: one(list(x)))
+
+    leaf = F.struct("at", "path", "marks", "kind", F.col(value).alias("value"), "action")
+    return rows.groupBy(key).agg(F.collect_list(leaf).alias("_leaves")).select(key, build("_leaves").alias("json"))
+
+
+def pseudonymize_leaves(rows: DataFrame, options: Options | None = None, key: str = "doc_id", known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """rows of leaves() with action and new_value: pseudonyms in all text leaves, one vault over all documents; and that vault."""
+    from palimpsest.operators import conflict
+
+    texts = rows.withColumn("_leaf", F.concat_ws("\x1f", F.col(key).cast("string"), F.format_string("%09d", "at")))
+    found = analyze(texts.withColumn("_text", F.when(F.col("kind") == "string", F.col("value"))), options, text="_text").drop("error")
+    found = found.withColumn("spans", F.coalesce(conflict.prefer_longer(F.col("spans")), F.array().cast(found.schema["spans"].dataType)))
+    out, vault = K.pseudonymize(found, "_leaf", "_leaf", text="_text", known=known)
+    new = F.when(F.col("kind") == "string", F.col("anonymized")).otherwise(F.col("value"))
+    return out.withColumn("action", F.when(F.col("kind") == "string", "analyze").otherwise("opaque")).withColumn("new_value", new).drop("spans", "anonymized", "_text", "_leaf"), vault
+
+
+def rehydrate_leaves(rows: DataFrame, vault: DataFrame, key: str = "doc_id", fmt: K.TokenFormat = K.TokenFormat()) -> DataFrame:
+    """rows(path, value, kind, ...) with action and new_value: the values of the vault's tokens in all text leaves; then ``renest`` gives the documents."""
+    texts = rows.withColumn("_leaf", F.concat_ws("\x1f", F.col(key).cast("string"), F.format_string("%09d", "at")))
+    out = K.rehydrate(texts.withColumn("_text", F.when(F.col("kind") == "string", F.col("value"))), vault, "_leaf", None, fmt, "_text")
+    new = F.when(F.col("kind") == "string", F.col("restored")).otherwise(F.col("value"))
+    return out.withColumn("action", F.when(F.col("kind") == "string", "analyze").otherwise("opaque")).withColumn("new_value", new).drop("restored", "_text", "_leaf")
+
+
 def redact_struct(column: Column, kind: T.DataType, policies: dict[str, object], leaf, depth: int = 0) -> Column:
     """The same for a typed column: rebuilds structs, arrays and map values, with ``leaf`` for strings. No Python at run time."""
     if depth > MAX_DEPTH:

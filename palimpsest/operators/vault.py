@@ -6,12 +6,17 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from palimpsest.functions.spans import let
 from palimpsest.functions.text import utf8
 from palimpsest.operators.anonymize import spliced
 
 
+#: Ranges in which the values of an entity are ranked side by side.
+RANGES = 256
+
+
 @dataclass(frozen=True)
 class TokenFormat:
     prefix: str = "<<"
@@ -37,20 +42,37 @@ class TokenFormat:
 def build(rows: DataFrame, order: list[str], scope: list[str] | None = None, fmt: TokenFormat = TokenFormat(), known: DataFrame | None = None) -> DataFrame:
     """The vault of rows(entity, value, *order, *scope): a counter for each entity (and scope, e.g. a conversation) by first occurrence.
 
-    known: an earlier vault, whose tokens stay and whose counters go on. One ranking sees the distinct values of an entity in a scope, not the rows.
+    known: an earlier vault, whose tokens stay, whose counters go on and whose uses are added up. One ranking sees the distinct values of an entity in a scope, not the rows. Without a scope it is
+    split: values are ranked within up to RANGES ranges of the first number of their order, and the ranges before are added.
     """
     scope = scope or []
-    first = rows.groupBy(*scope, "entity", "value").agg(F.min(F.struct(*order)).alias("first"), F.count("*").alias("uses"))
+    found = rows.groupBy(*scope, "entity", "value").agg(F.min(F.struct(*order)).alias("first"), F.count("*").alias("uses"))
+    names = [*scope, "entity"]
     if known is not None:
-        first = first.join(known.select(*scope, "entity", "value"), [*scope, "entity", "value"], "left_anti")
-        last = known.groupBy(*scope, "entity").agg(F.max("counter").alias("last"))
-        first = first.join(last, [*scope, "entity"], "left")
+        first = found.join(known.select(*names, "value"), [*names, "value"], "left_anti")
+        last = known.groupBy(*names).agg(F.max("counter").alias("last"))
+        first = first.join(last, names, "left")
+    else:
+        first = found.withColumn("last", F.lit(0))
+    by = names
+    if not scope and isinstance(rows.schema[order[0]].dataType, NumericType):
+        cuts = first.groupBy("entity").agg(F.percentile_approx(F.col(f"first.{order[0]}").cast("double"), [i / RANGES for i in range(1, RANGES)], 10_000).alias("cuts"))
+        first = first.join(F.broadcast(cuts), "entity")  # a row for each entity
+        first = first.withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col(f"first.{order[0]}")))).drop("cuts")
+        sizes = first.groupBy("entity", "range").agg(F.count("*").alias("size"))
+        before = Window.partitionBy("entity").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        earlier = sizes.select("entity", "range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("earlier"))
+        first, by = first.join(F.broadcast(earlier), ["entity", "range"]), ["entity", "range"]  # RANGES rows for each entity
     else:
-        first = first.withColumn("last", F.lit(0))
-    rank = F.row_number().over(Window.partitionBy(*scope, "entity").orderBy("first"))
-    new = first.withColumn("counter", (rank + F.coalesce("last", F.lit(0))).cast("long")).select(*scope, "entity", "value", "counter", "uses")
+        first = first.withColumn("earlier", F.lit(0))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("first"))
+    new = first.withColumn("counter", (F.col("earlier") + rank + F.coalesce("last", F.lit(0))).cast("long")).select(*names, "value", "counter", "uses")
     new = new.withColumn("token", fmt.token(F.col("entity"), F.col("counter")))
-    return new if known is None else known.unionByName(new, allowMissingColumns=True)
+    if known is None:
+        return new
+    again = found.select(*names, "value", F.col("uses").alias("_again"))
+    old = known.join(again, [*names, "value"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)) + F.coalesce("_again", F.lit(0))) if "uses" in known.columns else known
+    return old.select(*known.columns).unionByName(new, allowMissingColumns=True)
 
 
 def lookup_token(tokens: DataFrame, vault: DataFrame, scope: list[str] | None = None) -> DataFrame:

@@ -12,6 +12,10 @@ _SAMPLE = f"id:string,sample_id:string,full_text:string,text:string,sentence:str
 _ROOT = f"samples array<struct<{_SAMPLE}>>, data array<struct<{_SAMPLE}>>"
 
 
+#: Rows of the largest report.
+REPORT_ROWS = 1000
+
+
 def texts(spark: SparkSession, rows: list[str]) -> DataFrame:
     """doc_id by position, text."""
     return spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
@@ -110,8 +114,10 @@ def read_manifest(spark: SparkSession, path: str, required: tuple[str, ...] = ("
 
 
 def write_report(metrics: DataFrame, path: str, title: str = "Report") -> None:
-    """A small table as report.json and report.md below path."""
-    rows = [r.asDict(recursive=True) for r in metrics.limit(1000).collect()]
+    """A small table as report.json and report.md below path; one of more than REPORT_ROWS rows is an error, not cut."""
+    rows = [r.asDict(recursive=True) for r in metrics.limit(REPORT_ROWS + 1).collect()]
+    if len(rows) > REPORT_ROWS:
+        raise ValueError(f"a report has at most {REPORT_ROWS} rows")
     cells = metrics.columns
     table = "\n".join(["| " + " | ".join(cells) + " |", "|" + "-|" * len(cells), *("| " + " | ".join(str(r[c]) for c in cells) + " |" for r in rows)])
     spark = metrics.sparkSession

@@ -12,6 +12,8 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from palimpsest.operators.vault import TokenFormat
 
 MAX_TOKEN_BYTES = 128
+#: The largest vault that is sent to the tasks of a stream.
+MAX_VAULT_BYTES = 64 << 20
 
 
 class TokenTooLong(ValueError):
@@ -63,25 +65,40 @@ class Rehydrator:
         return out
 
 
-def rehydrate_stream(chunks: DataFrame, vault: dict[str, str], fmt: TokenFormat = TokenFormat(), unknown: str = "keep", max_token_bytes: int = MAX_TOKEN_BYTES) -> DataFrame:
-    """chunks(stream_id string, seq long, chunk string, last boolean) -> stream_id, seq, output. The state of a stream is its open token; ``last`` flushes.
+def rehydrate_stream(chunks: DataFrame, vault: dict[str, str], fmt: TokenFormat = TokenFormat(), unknown: str = "keep", max_token_bytes: int = MAX_TOKEN_BYTES, idle_ms: int | None = None) -> DataFrame:
+    """chunks(stream_id string, seq long, chunk string, last boolean) -> stream_id, seq, output. The state of a stream is its open token; ``last`` flushes and ends it.
 
-    The vault of a session is sent to the tasks; for large vaults use the batch operator, which joins. A source must deliver a stream's chunks in order.
+    All chunks of a stream in one micro-batch are restored in the order of seq; over micro-batches a source must deliver them in order. State is bounded by the streams that are open; with idle_ms a stream from which
+    nothing comes for so long is flushed (seq null) and forgotten too (such a query runs until it is stopped). The vault of a session is sent to the tasks, up to MAX_VAULT_BYTES; a larger one
+    is for the batch operator, which joins.
     """
+    size = sum(len(k) + len(v) for k, v in vault.items())
+    if size > MAX_VAULT_BYTES:
+        raise ValueError("vault too large for a stream: restore in batches")
     sent = chunks.sparkSession.sparkContext.broadcast(vault)
 
     def run(key, frames, state):
-        buffer = state.get[0] if state.exists else ""
-        r = Rehydrator(sent.value.get, fmt, unknown, max_token_bytes, buffer)
-        for pdf in frames:
-            pdf = pdf.sort_values("seq")
-            out = []
-            for chunk, last in zip(pdf["chunk"], pdf["last"]):
-                out.append(r.feed(chunk or "") + (r.flush() if last else ""))
-            yield pd.DataFrame({"stream_id": key[0], "seq": pdf["seq"].to_numpy(), "output": out})
-        state.update((r.buffer,))
-
-    return chunks.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, seq long, output string", "buffer string", "append", GroupStateTimeout.NoTimeout)
+        r = Rehydrator(sent.value.get, fmt, unknown, max_token_bytes, state.get[0] if state.exists else "")
+        if state.hasTimedOut:
+            state.remove()
+            if r.buffer:
+                yield pd.DataFrame({"stream_id": [key[0]], "seq": pd.array([None], dtype="Int64"), "output": [r.flush()]})
+            return
+        pdf = pd.concat(list(frames)).sort_values("seq", kind="stable")
+        out, over = [], False
+        for chunk, last in zip(pdf["chunk"], pdf["last"]):
+            out.append(r.feed(chunk or "") + (r.flush() if last else ""))
+            over = bool(last)
+        if over:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((r.buffer,))
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame({"stream_id": key[0], "seq": pdf["seq"].astype("Int64").to_numpy(), "output": out})
+
+    return chunks.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, seq long, output string", "buffer string", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def tumbling_stream(events: DataFrame, column: str = "ts", value: str = "value", window: str = "60 seconds", late: str = "2 minutes", *by: str) -> DataFrame:

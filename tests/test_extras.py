@@ -6,11 +6,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest import cli
+from palimpsest.operators import backends
 from palimpsest.operators import model as M
+from palimpsest.operators import structured as ST
 from palimpsest.operators import vault as K
+from palimpsest.operators.analyze import Options
 from palimpsest.operators.backends import MemoryVault, TableVault
 from palimpsest.operators.bpe import PATTERNS, Encoding
 from palimpsest.plans import labels, profiles
+from palimpsest.sources import datasets
+from palimpsest.streaming.rehydrate import rehydrate_stream
 
 
 def test_bpe_round_trip_and_offsets(spark):
@@ -67,3 +72,66 @@ def test_command_line(spark, tmp_path, capsys):
     assert out["byte_start"] == 5 and "text" not in out
     cli.main(["config"], spark)
     assert json.loads(capsys.readouterr().out)["profile"] == "regex_only"
+
+
+def test_table_vault_opened_again(spark, tmp_path):
+    first = backends.TableVault(spark, str(tmp_path / "v"))
+    assert first.load().count() == 0
+    rows = spark.createDataFrame([(1, 0, "email", "a@b.com"), (2, 0, "email", "c@d.com"), (3, 0, "email", "a@b.com")], "doc_id long, b int, entity string, value string")
+    first.save(K.build(rows, ["doc_id", "b"]))
+    again = backends.TableVault(spark, str(tmp_path / "v"))
+    assert {r.value: (r.counter, r.uses) for r in again.load().collect()} == {"a@b.com": (1, 2), "c@d.com": (2, 1)}
+    more = spark.createDataFrame([(9, 0, "email", "e@f.com"), (9, 5, "email", "c@d.com")], "doc_id long, b int, entity string, value string")
+    again.save(K.build(more, ["doc_id", "b"], known=again.load()))
+    third = backends.TableVault(spark, str(tmp_path / "v"))
+    assert {r.value: (r.counter, r.uses) for r in third.load().collect()} == {"a@b.com": (1, 2), "c@d.com": (2, 2), "e@f.com": (3, 1)} and third.generation == 2
+    (tmp_path / "v" / "000003").mkdir()  # a save that failed
+    assert third.generation == 2
+    third.clear()
+    assert backends.TableVault(spark, str(tmp_path / "v")).load().count() == 0
+
+
+def test_counters_in_ranges_are_those_of_one_ranking(spark):
+    rows = spark.range(5000).selectExpr("id * 37 % 4999 AS doc_id", "int(id % 3) AS b", "'e' AS entity", "concat('v', id % 1700) AS value")
+    got = {r.value: r.counter for r in K.build(rows, ["doc_id", "b"]).collect()}
+    first = {}
+    for r in rows.collect():
+        first[r.value] = min(first.get(r.value, (r.doc_id, r.b)), (r.doc_id, r.b))
+    assert got == {v: i + 1 for i, v in enumerate(sorted(first, key=first.get))}
+
+
+def test_documents_are_nested_again(spark):
+    data = [
+        {"user": {"email": "me: a@b.com", "password": 7, "tags": ["x", {"y": []}, "call a@b.com"]}, "gone": "z", "n": 5, "none": None, "deep": [[1, [2, "c@d.com"]], {}], "0": {"1": True}},
+        ["a@b.com", 1.5], "a@b.com", 3, {},
+    ]
+    docs = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(data)], "doc_id long, j string")
+    rows = ST.leaves(docs, "j")
+    out = {r.doc_id: json.loads(r.json) for r in ST.renest(ST.redact_leaves(rows, {"gone": "drop"}, Options(entities=("email",)))).collect()}
+    want = {"user": {"email": "me: [EMAIL]", "password": "[REDACTED]", "tags": ["x", {"y": []}, "call [EMAIL]"]}, "n": 5, "none": None, "deep": [[1, [2, "[EMAIL]"]], {}], "0": {"1": True}}
+    assert out == {0: want, 1: ["[EMAIL]", 1.5], 2: "[EMAIL]", 3: 3, 4: {}}
+    named, vault = ST.pseudonymize_leaves(rows, Options(entities=("email",)))
+    hidden = ST.renest(named)
+    assert "@" not in "".join(r.json for r in hidden.collect()) and vault.count() == 2
+    back = ST.renest(ST.rehydrate_leaves(ST.leaves(hidden, "json"), vault))
+    assert {r.doc_id: json.loads(r.json) for r in back.collect()} == dict(enumerate(data))
+
+
+def test_streams_end_and_come_in_order(spark, tmp_path):
+    schema = "stream_id string, seq long, chunk string, last boolean"
+    chunks = [("s", i, c, False) for i, c in enumerate("Hello <<EMAIL_001>>, bye")] + [("t", 0, "<<EMA", True)]
+    spark.createDataFrame(chunks[::-1], schema).repartition(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    q = rehydrate_stream(source, {"<<EMAIL_001>>": "a@b.com"}).writeStream.format("memory").queryName("ended").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    rows = spark.sql("select * from ended").collect()
+    assert "".join(r.output for r in sorted(rows, key=lambda r: r.seq) if r.stream_id == "s") == "Hello a@b.com, bye"
+    kept = [s["numRowsTotal"] for s in q.lastProgress["stateOperators"]]
+    assert kept == [1]  # the stream that has ended is forgotten
+    with pytest.raises(ValueError, match="too large"):
+        rehydrate_stream(source, {"k": "x" * (65 << 20)})
+
+
+def test_reports_are_not_cut(spark, tmp_path):
+    with pytest.raises(ValueError):
+        datasets.write_report(spark.range(1001), str(tmp_path / "r"))
