@@ -8,11 +8,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.spans import update
+from palimpsest.functions.spans import no_spans, span, update
 from palimpsest.functions.text import LANGUAGES, tokens, utf8
 from palimpsest.operators import conflict, context
+from palimpsest.operators import model as M
 from palimpsest.operators.recognize import Registry
-from palimpsest.plans.profiles import PROFILES, entities_of
+from palimpsest.plans.labels import MODEL_THRESHOLD, label_map
+from palimpsest.plans.profiles import MODEL_ENTITIES, NER_ENTITIES, PHI_ENTITIES, entities_of, profile_of
 
 
 @dataclass
@@ -31,10 +33,13 @@ class Options:
     context: context.ContextOptions = field(default_factory=context.ContextOptions)
     phone_accept: Callable[[Column], Column] | None = None
     detect_language: Callable[[Column], Column] | None = None
+    #: How a model's outputs are read: label to entity, least score, and what else ``model.normalize`` takes.
+    model_labels: dict[str, str] = field(default_factory=lambda: label_map("conll") | label_map("ontonotes") | label_map("gliner") | {e: e for e in (*NER_ENTITIES, *PHI_ENTITIES)})
+    model_threshold: float = MODEL_THRESHOLD
+    model_options: dict = field(default_factory=dict)
 
     def __post_init__(self):
-        if self.profile not in PROFILES:
-            raise ValueError("unknown profile")
+        self.profile = profile_of(self.profile)
         if self.language not in LANGUAGES:
             raise ValueError("unsupported language")
         if self.entities is None:
@@ -54,7 +59,13 @@ class Options:
         for e in self.allow_list:
             if not isinstance(e, dict) or set(e) - {"entity", "values", "patterns", "case_sensitive"}:
                 raise ValueError("invalid allow list entry")
-        self.registry.check(self.entities)
+        self.registry.check(self.own_entities)
+
+    @property
+    def own_entities(self) -> tuple[str, ...]:
+        """What the recognizers are asked for: all but what only the profile's models can find."""
+        of_models = MODEL_ENTITIES.get(self.profile, ())
+        return tuple(e for e in self.entities if e not in of_models or e in self.registry.supported())
 
 
 def allowed(s: Column, entries: list[dict]) -> Column:
@@ -74,7 +85,7 @@ def allowed(s: Column, entries: list[dict]) -> Column:
 
 def analyze_column(text: Column, options: Options) -> Column:
     """The spans of a text: requested entities, not allowed, accepted by context and threshold, after the conflict policy, in range order."""
-    found = options.registry.spans(text, options.entities, options.profile, options.phone_accept)
+    found = options.registry.spans(text, options.own_entities, options.profile, options.phone_accept)
     found = F.filter(found, lambda s: s["entity"].isin(*options.entities))
     if options.allow_list:
         found = F.filter(found, lambda s: ~allowed(s, options.allow_list))
@@ -99,15 +110,28 @@ def finish(rows: DataFrame, text: Column, found: str, options: Options, out: str
     return rows.withColumn(out, done).drop("_toks", "_data", "_kept")
 
 
-def analyze(docs: DataFrame, options: Options | None = None, text: str = "text", spans: str = "spans") -> DataFrame:
+def model_spans(docs: DataFrame, outputs: DataFrame, options: Options, key: str, text: str) -> DataFrame:
+    """key, _model: the spans of a model's outputs(key, label, start, end, offset_unit, score) for each document that has any. A document's outputs meet in a task."""
+    given = {"default": options.model_threshold} | options.model_options
+    rows = M.normalize(outputs, docs.select(key, F.col(text).alias("text")), options.model_labels, key=key, **given)
+    one = span(entity=F.col("entity"), byte_start=F.col("byte_start"), byte_end=F.col("byte_end"), score=F.col("score"), text=F.col("text"), source_entity=F.col("source_entity"), recognizer=F.lit("ner"), requires_context=F.col("requires_context"), model_label=F.col("source_entity"))
+    return rows.groupBy(F.col(key).alias("_key")).agg(F.collect_list(one).alias("_model"))
+
+
+def analyze(docs: DataFrame, options: Options | None = None, text: str = "text", spans: str = "spans", outputs: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
     """docs with a spans column; null where the text is null or not valid UTF-8, with the reason in ``error``.
 
-    Recognition is a step of its own: the array of found spans is computed once, and documents without any skip the rest.
+    Recognition is a step of its own: the array of found spans is computed once, and documents without any skip the rest. outputs: what a model
+    says of the documents (see ``model_spans``), joined on key; its spans go through the same filters, context and policy. Models themselves run elsewhere.
     """
     options = options or Options()
     value = F.col(text)
     ok = value.isNotNull() & F.is_valid_utf8(value)
     found = docs.withColumn("_found", F.when(ok, analyze_column(value, options)))
+    if outputs is not None:
+        found = found.join(model_spans(docs, outputs, options, key, text), F.col(key) == F.col("_key"), "left").drop("_key")
+        wanted = F.filter(F.coalesce("_model", no_spans()), lambda s: s["entity"].isin(*options.entities) & ~allowed(s, options.allow_list))
+        found = found.withColumn("_found", F.when(ok, F.concat("_found", wanted))).drop("_model")
     if options.detect_language is not None:
         found = found.withColumn("language", F.coalesce(options.detect_language(value), F.lit("unknown")))
     return finish(found, value, "_found", options, spans).withColumn("error", F.when(~ok & value.isNotNull(), "invalid_utf8")).drop("_found")

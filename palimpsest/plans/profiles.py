@@ -35,6 +35,24 @@ TAXONOMY = {
 }
 
 
+#: Entities that the models of a profile find; without a model's outputs only the rest is found.
+MODEL_ENTITIES = {
+    "hybrid_ner": NER_ENTITIES,
+    "hybrid_gliner_ortex": (*NER_ENTITIES, "date_time", "street_address"),
+    "hybrid_gliner_urchade": (*NER_ENTITIES, "date_time", "street_address"),
+    "hybrid_gliner_urchade_native": (*NER_ENTITIES, "date_time", "street_address"),
+    "phi": PHI_ENTITIES,
+}
+
+
+def profile_of(name: str) -> str:
+    """The profile of a profile's or product's name; an unknown name is an error."""
+    name = PRODUCTS.get(name, name)
+    if name not in PROFILES:
+        raise ValueError("unknown profile")
+    return name
+
+
 def entities_of(profile: str) -> tuple[str, ...]:
     return PROFILES[PRODUCTS.get(profile, profile)]
 

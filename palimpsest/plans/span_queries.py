@@ -20,7 +20,7 @@ from palimpsest.operators import statistics as S
 from palimpsest.operators import vault as K
 from palimpsest.operators.analyze import Options, analyze
 from palimpsest.plans import profiles
-from palimpsest.plans.queries import query, table
+from palimpsest.plans.queries import EMAIL_SQL, query, spans_sql, table
 
 # --- lineitem as spans -----------------------------------------------------------------------------------------------
 
@@ -354,6 +354,20 @@ def m01_normalize_outputs(spark, sf_dir):
     return M.normalize(rows, docs.select("doc_id", "text"), labels, default=0.5, gates={"labels": ("GPE",)}, align="strict").drop("source_entity", "threshold")
 
 
+@query(
+    f"""WITH {spans_sql(EMAIL_SQL)}, w AS (SELECT doc_id, {_FIRST} AS first, (n_chars % 100) / 100.0 AS score FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, 'email' AS entity, byte_start::INT AS byte_start, byte_end::INT AS byte_end, value FROM s
+UNION ALL SELECT doc_id, 'person', 0, strlen(first)::INT, first FROM w WHERE score >= 0.7 AND first <> '' AND NOT EXISTS (SELECT 1 FROM s WHERE s.doc_id = w.doc_id AND s.byte_start < strlen(first))"""
+)
+def r18_model_profile(spark, sf_dir):
+    """The balanced product with a model's outputs as a table: its spans join those of the rules, and give way to structured ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    first = F.regexp_extract("text", "^[A-Za-z]+", 0)
+    outputs = docs.filter("text IS NOT NULL").select("doc_id", F.lit("B-PER").alias("label"), F.lit(0).alias("start"), F.octet_length(first).alias("end"), F.lit("byte").alias("offset_unit"), ((F.col("n_chars") % 100) / 100).alias("score"))
+    found = analyze(docs, Options(profile="balanced", entities=("email", "person"), model_options={"align": "strict"}), outputs=outputs)
+    return found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.entity", "s.byte_start", "s.byte_end", F.col("s.text").alias("value"))
+
+
 @query("SELECT l_orderkey AS doc_id, l_partkey % 40 AS start, max(l_discount) AS score FROM lineitem GROUP BY 1, 2")
 def m07_dedupe_outputs(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit("PER").alias("label"), (F.col("l_partkey") % 40).alias("start"), (F.col("l_partkey") % 40 + 3).alias("end"), F.col("l_discount").alias("score"))

@@ -10,7 +10,7 @@ from palimpsest.operators import backends
 from palimpsest.operators import model as M
 from palimpsest.operators import structured as ST
 from palimpsest.operators import vault as K
-from palimpsest.operators.analyze import Options
+from palimpsest.operators.analyze import Options, analyze
 from palimpsest.operators.backends import MemoryVault, TableVault
 from palimpsest.operators.bpe import PATTERNS, Encoding
 from palimpsest.plans import labels, profiles
@@ -135,3 +135,23 @@ def test_streams_end_and_come_in_order(spark, tmp_path):
 def test_reports_are_not_cut(spark, tmp_path):
     with pytest.raises(ValueError):
         datasets.write_report(spark.range(1001), str(tmp_path / "r"))
+
+
+@pytest.mark.parametrize("profile", [*profiles.PROFILES, *profiles.PRODUCTS])
+def test_every_profile_and_product_runs(spark, profile):
+    docs = spark.createDataFrame([(1, "Jane Roe (jane@x.org) took Aspirin in Bern"), (2, None), (3, "nothing")], "doc_id long, text string")
+    schema = "doc_id long, label string, start int, end int, offset_unit string, score double"
+    outputs = spark.createDataFrame([(1, "B-PER", 0, 8, "byte", 0.9), (1, "PER", 10, 14, "byte", 0.99), (1, "medication", 27, 34, "character", 0.8), (1, "LOC", 38, 42, "byte", 0.3), (4, "PER", 0, 1, "byte", 0.9)], schema)
+    got = {r.doc_id: r.spans for r in analyze(docs, Options(profile=profile), outputs=outputs).collect()}
+    found = {(s.entity, s.text) for s in got[1]}
+    asked = profiles.entities_of(profile)
+    want = {("email", "jane@x.org")} | ({("person", "Jane Roe")} if "person" in asked else set()) | ({("medication", "Aspirin")} if "medication" in asked else set())
+    assert want <= found and not {e for e, _ in found} - set(asked) and ("location", "Bern") not in found or profile == "deterministic_plus"
+    assert got[2] is None and got[3] == []
+
+
+def test_unknown_profiles_and_entities_are_refused():
+    with pytest.raises(ValueError):
+        Options(profile="fastest")
+    with pytest.raises(ValueError):
+        Options(profile="hybrid_ner", entities=("medication",))
