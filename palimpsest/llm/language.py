@@ -4,10 +4,11 @@ An n-gram is one to three characters of a lower-cased word with one blank on eit
 language in order (ties by the n-gram's number). A document's most frequent n-grams are ranked alike, and its distance to a language is the sum over
 them of how far out of place each is in the profile, ``PROFILE`` for one that the profile lacks. The least distance wins, ties go to the first language by name.
 
-Learning: from text and non-null lang of the rows that the caller passes, of which a hash of the row picks about ``TRAIN_ROWS`` documents of each
-language; whole texts are counted. Prediction: every whole text, in one pass without a shuffle; long texts are counted in pieces.
+Learning: from text and non-null lang of the rows that the caller passes, of which a hash of doc_id and text picks about ``TRAIN_ROWS`` documents of each of the
+``LANGUAGES`` most frequent lang values; whole texts are counted. Prediction: every whole text, in one pass without a shuffle; long texts are counted in pieces.
 
-Defined results: ``und`` with score 0 where the text is null or has no letter, or nothing could be learned; repeated rows get equal rows.
+Defined results: ``und`` with score 0 where the text is null or has no letter, or nothing could be learned; repeated rows get equal rows; a null doc_id is a row like any other and not held out; an empty table
+gives no rows; doc_id, text and (to learn) lang are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -16,13 +17,15 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import batch, bounded_batches, materialize
+from palimpsest.llm.common import batch, bounded_batches, materialize, tidy
 
 PROFILE = 400
 TRAIN_ROWS = 4000
+#: The most languages that are learned: a bound of the fit, for tables whose lang is not clean.
+LANGUAGES = 1000
 _PIECE = 1 << 18
 
 _letter: np.ndarray | None = None
@@ -101,14 +104,14 @@ class Profiles:
 
 
 def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS, size: int = PROFILE) -> Profiles:
-    """Profiles of the languages in docs(text, lang)."""
+    """Profiles of the languages in docs(doc_id, text, lang)."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).dropna()
-    totals = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).dropna(subset=["lang", "text"])
+    totals = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not totals:
         return Profiles({}, size)
-    share = F.create_map(*[x for lang, n in sorted(totals.items()) for x in (F.lit(lang), F.lit(int((1 << 20) * min(1.0, train_rows / n))))])
-    chosen = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col("lang")])
+    share = F.create_map(*[x for lang, n in sorted(totals.items()) for x in (F.lit(lang), F.lit(max(1, int((1 << 30) * min(1.0, train_rows / n)))))])
+    chosen = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share[F.col("lang")]).select("lang", "text")
 
     def run(batches):
         schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
@@ -121,9 +124,12 @@ def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS, size: int = PROFILE) ->
                 counts = np.bincount(index, weights=np.concatenate([c for _, c in found]), minlength=len(keys)).astype(np.int64)
                 yield batch(schema, lang=[lang] * len(keys), gram=keys, n=counts)
 
-    counts = materialize(chosen.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    profiles = {lang: [r.gram for r in counts.filter(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(size).collect()] for lang in sorted(totals)}
-    return Profiles({k: v for k, v in profiles.items() if v}, size)
+    counts = materialize(chosen.mapInArrow(tidy(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    profiles: dict[str, list[int]] = {}
+    for r in counts.withColumn("rank", first).filter(F.col("rank") <= size).orderBy("lang", "rank").collect():  # size n-grams of a language at most
+        profiles.setdefault(r.lang, []).append(r.gram)
+    return Profiles(profiles, size)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -142,7 +148,7 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
             yield batch(schema, doc_id=b.column("doc_id"), held_out=b.column("held_out"), lang_pred=[x for x, _ in found], score=[s for _, s in found])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def learn_and_identify(docs: DataFrame) -> DataFrame:
