@@ -6,13 +6,39 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+_R50K = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 #: The pattern that cuts texts before merging, by encoding.
 PATTERNS = {
-    "r50k_base": r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s""",
+    "gpt2": _R50K,
+    "r50k_base": _R50K,
+    "p50k_base": _R50K,
+    "p50k_edit": _R50K,
     "cl100k_base": r"""'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}++|\p{N}{1,3}+| ?[^\s\p{L}\p{N}]++[\r\n]*+|\s++$|\s*[\r\n]|\s+(?!\S)|\s""",
+    "o200k_base": r"""[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]*[\p{Ll}\p{Lm}\p{Lo}\p{M}]+(?i:'s|'t|'re|'ve|'m|'ll|'d)?|[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]+[\p{Ll}\p{Lm}\p{Lo}\p{M}]*(?i:'s|'t|'re|'ve|'m|'ll|'d)?|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n/]*|\s*[\r\n]+|\s+(?!\S)|\s+""",
+}
+PATTERNS["o200k_harmony"] = PATTERNS["o200k_base"]
+#: Special tokens by encoding.
+SPECIAL = {
+    "gpt2": {"<|endoftext|>": 50256},
+    "r50k_base": {"<|endoftext|>": 50256},
+    "p50k_base": {"<|endoftext|>": 50256},
+    "p50k_edit": {"<|endoftext|>": 50256, "<|fim_prefix|>": 50281, "<|fim_middle|>": 50282, "<|fim_suffix|>": 50283},
+    "cl100k_base": {"<|endoftext|>": 100257, "<|fim_prefix|>": 100258, "<|fim_middle|>": 100259, "<|fim_suffix|>": 100260, "<|endofprompt|>": 100276},
+    "o200k_base": {"<|endoftext|>": 199999, "<|endofprompt|>": 200018},
 }
 #: Encodings of model families.
-MODELS = {"gpt2": "r50k_base", "davinci": "r50k_base", "gpt-3.5-turbo": "cl100k_base", "gpt-4": "cl100k_base", "text-embedding-3-small": "cl100k_base"}
+MODELS = {
+    "gpt2": "gpt2", "davinci": "r50k_base", "text-davinci-003": "p50k_base", "code-davinci-002": "p50k_base", "text-davinci-edit-001": "p50k_edit",
+    "gpt-3.5-turbo": "cl100k_base", "gpt-4": "cl100k_base", "text-embedding-3-small": "cl100k_base", "gpt-4o": "o200k_base", "o1": "o200k_base", "gpt-oss": "o200k_harmony",
+}
+
+
+def encoding_of(model: str) -> str:
+    """The encoding of a model, by its name or the longest family's name that it begins with."""
+    found = [m for m in MODELS if model == m or model.startswith(m + "-")]
+    if not found:
+        raise KeyError("unknown model")
+    return MODELS[max(found, key=len)]
 
 
 class Encoding:

@@ -12,7 +12,7 @@ from palimpsest.operators import structured as ST
 from palimpsest.operators import vault as K
 from palimpsest.operators.analyze import Options, analyze
 from palimpsest.operators.backends import MemoryVault, TableVault
-from palimpsest.operators.bpe import PATTERNS, Encoding
+from palimpsest.operators.bpe import PATTERNS, Encoding, encoding_of
 from palimpsest.plans import labels, profiles
 from palimpsest.sources import datasets
 from palimpsest.streaming.rehydrate import rehydrate_stream
@@ -155,3 +155,34 @@ def test_unknown_profiles_and_entities_are_refused():
         Options(profile="fastest")
     with pytest.raises(ValueError):
         Options(profile="hybrid_ner", entities=("medication",))
+
+
+def test_tools(spark, tmp_path, capsys):
+    cases = {"email": [["a@b.com x", ["a@b.com"]], ["none", []]], "us_ssn": [["123-45-6789", ["123-45-6789"]]]}
+    (tmp_path / "cases.json").write_text(json.dumps(cases))
+    assert cli.main(["cases", str(tmp_path / "cases.json")], spark) == 0 and json.loads(capsys.readouterr().out.splitlines()[-1]) == {"cases": 3, "failed": 0}
+    cases["email"][1][1] = ["x@y.z"]
+    (tmp_path / "cases.json").write_text(json.dumps(cases))
+    assert cli.main(["cases", str(tmp_path / "cases.json")], spark) == 1
+    capsys.readouterr()
+    samples = [{"id": "a", "full_text": "é a@b.com c@d.com", "spans": [{"entity_type": "email", "entity_value": "a@b.com", "start_position": 2, "end_position": 9}, {"entity_type": "email", "entity_value": "c@d", "start_position": 10, "end_position": 13}]}]
+    (tmp_path / "s.json").write_text(json.dumps(samples))
+    assert cli.main(["eval", str(tmp_path / "s.json"), "--entities", "email"], spark) == 0
+    rows = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert [(r["entity"], r["tp"], r["fp"], r["fn"], r["precision"]) for r in rows] == [("email", 1, 1, 1, 0.5), (None, 1, 1, 1, 0.5)]
+    cli.main(["check", "--profile", "balanced"], spark)
+    assert json.loads(capsys.readouterr().out)["of_models"] == ["person", "location", "organization"]
+
+
+def test_encodings_by_model():
+    assert [encoding_of(m) for m in ("gpt2", "gpt-4", "gpt-4o", "gpt-4o-mini", "gpt-4-32k", "davinci")] == ["gpt2", "cl100k_base", "o200k_base", "o200k_base", "cl100k_base", "r50k_base"]
+    with pytest.raises(KeyError):
+        encoding_of("other")
+
+
+@pytest.mark.parametrize("name", sorted(PATTERNS))
+def test_every_pattern_cuts_all_of_a_text(name):
+    import regex
+
+    text = "It's 12345 naïve HTTPServers, don't\n\n  x\t漢字 Ⅳ!! \u00a0end  "
+    assert "".join(regex.findall(PATTERNS[name], text)) == text
