@@ -17,6 +17,7 @@ from palimpsest.operators import evaluate as E
 from palimpsest.operators import model as M
 from palimpsest.operators import recognize as R
 from palimpsest.operators import statistics as S
+from palimpsest.operators import structured as ST
 from palimpsest.operators import vault as K
 from palimpsest.operators.analyze import Options, analyze
 from palimpsest.plans import profiles
@@ -497,3 +498,43 @@ def r10_r13_wide_profile(spark, sf_dir):
     found = analyze(table(spark, sf_dir, "customer").select("c_custkey", text.alias("text")), Options(profile="deterministic_plus", entities=("person", "location", "street_address", "title")))
     return found.select("c_custkey", F.explode("spans").alias("s")).select("c_custkey", "s.entity", "s.byte_start", F.col("s.text").alias("value"))
 
+
+
+# --- documents and nested data -----------------------------------------------------------------------------------------
+
+_CAPITALS = "[A-Z][a-z]+"
+_SKIPPED = ", ".join(f"'{w}'" for w in E.SKIP_WORDS)
+
+
+@query(
+    f"""WITH {spans_sql(_CAPITALS)}, b AS (SELECT *, CASE WHEN i > 1 AND len(list_filter(string_split_regex(lower(before), '[\\s,.\\-:;()]+'), lambda x: x <> '' AND x NOT IN ({_SKIPPED}))) = 0 THEN 0 ELSE 1 END AS brk FROM s),
+c AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM b)
+SELECT doc_id, count(*) AS merged, sum(n)::BIGINT AS words, sum(e - st)::BIGINT AS bytes FROM (SELECT doc_id, g, count(*) AS n, min(byte_start) AS st, max(byte_end) AS e FROM c GROUP BY ALL) GROUP BY 1"""
+)
+def j11_merge_skip_words(spark, sf_dir):
+    found = F.transform(X.matches(F.col("text"), _CAPITALS), lambda m, i: F.struct(F.lit("word").alias("entity"), m["s"].alias("byte_start"), m["e"].alias("byte_end"), i.alias("at")))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", found.alias("spans")).withColumn("n", F.size("spans")).filter("n > 0").withColumn("merged", E.merge_skip_words(F.col("text"), F.col("spans")))
+    return d.select("doc_id", F.size("merged").cast("long").alias("merged"), F.col("n").cast("long").alias("words"), F.aggregate("merged", F.lit(0).cast("long"), lambda a, s: a + s["byte_end"] - s["byte_start"]).alias("bytes"))
+
+
+@query(
+    """SELECT event_id, '{"id": ' || event_id::VARCHAR || ', "type": "[REDACTED]", "password": "[REDACTED]", "list": ["' || event_type || '", {"note": "mail [EMAIL]"}, ' || props || ']}' AS json FROM events WHERE props IS NOT NULL"""
+)
+def st4_nested_documents(spark, sf_dir):
+    """Nested documents made of each event: fields by policy and by name, text leaves by analysis, then nested again."""
+    nested = F.concat(
+        F.lit('{"id": '), F.col("event_id").cast("string"), F.lit(', "type": "'), F.col("event_type"), F.lit('", "password": "p", "gone": "x", "list": ["'), F.col("event_type"), F.lit('", {"note": "mail u'), F.col("user_id").cast("string"), F.lit('@x.org"}, '), F.col("props"), F.lit("]}")
+    )
+    docs = table(spark, sf_dir, "events").filter("props IS NOT NULL").select("event_id", nested.alias("j"))
+    policies = {"gone": "drop", "type": ("replace", "[REDACTED]")}
+    return ST.renest(ST.redact_leaves(ST.leaves(docs, "j", "event_id"), policies, Options(entities=("email",))), "event_id")
+
+
+@query(
+    f"""WITH {_SPANS_SQL}, t AS (SELECT doc_id, ord, (ord - 1) % 4 AS a, (ord - 1) % 4 + 1 + ord % 3 AS b FROM v)
+SELECT doc_id, ord, [0, 5, 9, 20][a + 1] AS char_start, [4, 8, 19, 20][b] AS char_end FROM t WHERE b <= 4 AND [4, 8, 19, 20][b] > [0, 5, 9, 20][a + 1]"""
+)
+def m20_token_to_char(spark, sf_dir):
+    at = (F.col("ord") - 1) % 4
+    rows = spans_of(spark, sf_dir).select("doc_id", "ord", at.cast("int").alias("start"), (at + 1 + F.col("ord") % 3).cast("int").alias("end"), F.array(*map(F.lit, (0, 5, 9, 20))).alias("char_starts"), F.array(*map(F.lit, (4, 8, 19, 20))).alias("char_ends"))
+    return M.token_to_char(rows).select("doc_id", "ord", "char_start", "char_end")
