@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions import numbers as N
 from palimpsest.functions import text as X
 from palimpsest.functions import validators as V
 from palimpsest.functions.spans import span
@@ -538,3 +539,21 @@ def m20_token_to_char(spark, sf_dir):
     at = (F.col("ord") - 1) % 4
     rows = spans_of(spark, sf_dir).select("doc_id", "ord", at.cast("int").alias("start"), (at + 1 + F.col("ord") % 3).cast("int").alias("end"), F.array(*map(F.lit, (0, 5, 9, 20))).alias("char_starts"), F.array(*map(F.lit, (4, 8, 19, 20))).alias("char_ends"))
     return M.token_to_char(rows).select("doc_id", "ord", "char_start", "char_end")
+
+
+@query("""SELECT c_custkey, sha256('{"c_custkey":' || c_custkey::VARCHAR || ',"c_name":"' || c_name || '","c_nationkey":' || c_nationkey::VARCHAR || '}') AS fingerprint FROM customer""")
+def f13_fingerprint(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", N.fingerprint(F.col("c_custkey"), F.col("c_name"), F.col("c_nationkey")).alias("fingerprint"))
+
+
+@query(
+    f"""WITH {_VALUES_SQL}, g AS (SELECT c_custkey, c_nationkey FROM va WHERE {_SSN_GOOD})
+SELECT c_custkey, CASE WHEN c_nationkey < 8 THEN 0.85 ELSE 0.425 END::DOUBLE AS score, c_nationkey < 8 AS with_context FROM g"""
+)
+def c08_context_policies(spark, sf_dir):
+    """A policy halves scores below 0.9; words around the value raise them again; spans that need context and have none go."""
+    lead = F.when(F.col("c_nationkey") < 8, "my badge is ").when(F.col("c_nationkey") < 16, "number ").otherwise("other ")
+    t = values_of(spark, sf_dir).withColumn("text", F.concat(lead, "ssn", F.lit(" ok"))).withColumn("spans", R.all_spans(F.col("text"), R.BASE["us_ssn"]))
+    options = C.ContextOptions(policies={"us_ssn": {"lower_below": 0.9, "multiplier": 0.5, "add_words": ["badge"], "min_score": 0.85}})
+    after = C.enhance(F.col("text"), F.col("spans"), options)
+    return t.select("c_custkey", F.explode(after).alias("s")).select("c_custkey", F.round("s.score", 6).alias("score"), F.col("s.context_matched").isNotNull().alias("with_context"))
