@@ -14,7 +14,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of Arrow data handed to Python at a time, whatever the number of rows.
-ARROW_BATCH_BYTES = 16 << 20
+ARROW_BATCH_BYTES = 4 << 20
 ARROW_BATCH_ROWS = 2000
 
 _roots: dict[str, str] = {}
@@ -52,7 +52,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more: what was made of them has been written itself."""
+    for t in tables:
+        jvm, path = t.sparkSession._jvm, t._scratch_path
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def bounded_batches(spark: SparkSession) -> None:

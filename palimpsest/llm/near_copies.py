@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import batch, bounded_batches, materialize, tidy
+from palimpsest.llm.common import batch, bounded_batches, discard, materialize, tidy
 from palimpsest.llm.simhash import LIMIT, RADIUS, SEED, components, first_of_each, local_links, majority, shingle_hashes
 
 WIDTH = 5
@@ -115,7 +115,7 @@ def _grouped(docs: DataFrame, width: int, similarity: float, radius: int = RADIU
     by_simhash = materialize(simhash_pairs(sketch, radius, limit).filter(sizes(F.col("an"), F.col("bn"))).select("a", "b"), "simhash_pairs")
     members = sketch.groupBy("text_hash").agg(F.first("n").alias("n"), F.first("keys").alias("keys")).select("text_hash", "n", F.explode(F.array_distinct("keys")).alias("key"))
     many = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select(F.bitwise_not("key").alias("nk"), "size")
-    buckets = materialize(members.join(many, F.bitwise_not(members.key) == many.nk).select("key", "text_hash", "n", "size"), "buckets")
+    buckets = met_at = materialize(members.join(many, F.bitwise_not(members.key) == many.nk).select("key", "text_hash", "n", "size"), "buckets")
     met = buckets.groupBy("text_hash").agg(F.sum("size").alias("met")).select(F.bitwise_not("text_hash").alias("nh"), "met")
     buckets = buckets.join(met, F.bitwise_not(buckets.text_hash) == met.nh).select("key", "text_hash", "n", "met")
     leaders = buckets.groupBy("key").agg(F.max(F.struct("met", "text_hash", "n")).alias("l")).select(F.bitwise_not("key").alias("nk"), F.col("l.text_hash").alias("leader"), F.col("l.n").alias("leader_n"))
@@ -126,15 +126,18 @@ def _grouped(docs: DataFrame, width: int, similarity: float, radius: int = RADIU
     sets = materialize(shingle_sets(docs, wanted, width), "shingle_sets")
     links = materialize(similar(pairs, sets, similarity), "links")
     roots = _named(components(links))
+    discard(pairs, by_simhash)
     labelled = buckets.join(roots, F.bitwise_not(buckets.text_hash) == roots.nn, "left").select("key", "text_hash", "n", F.coalesce("root", "text_hash").alias("root"))
     labelled = materialize(labelled, "labelled")
     mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     mixed = mixed.select(F.bitwise_not("key").alias("nk"))
-    open_ = materialize(labelled.join(mixed, F.bitwise_not(labelled.key) == mixed.nk, "left_semi"), "open")
-    size = open_.groupBy("key").agg(F.count("*").alias("size")).select(F.bitwise_not("key").alias("nk"), "size")
-    open_ = materialize(open_.join(size, F.bitwise_not(open_.key) == size.nk).select("key", "text_hash", "n", "root", "size"), "open_sizes")
-    rest = all_pairs(open_.filter(F.col("size") <= FEW), similarity).unionByName(first_shared(open_.filter(F.col("size") > FEW), sets, similarity)).distinct()
+    unsized = materialize(labelled.join(mixed, F.bitwise_not(labelled.key) == mixed.nk, "left_semi"), "unsized")
+    size = unsized.groupBy("key").agg(F.count("*").alias("size")).select(F.bitwise_not("key").alias("nk"), "size")
+    open_ = materialize(unsized.join(size, F.bitwise_not(unsized.key) == size.nk).select("key", "text_hash", "n", "root", "size"), "open")
+    fronts = front_shingles(open_.filter(F.col("size") > FEW), sets, similarity)
+    rest = all_pairs(open_.filter(F.col("size") <= FEW), similarity).unionByName(first_shared(fronts, similarity)).distinct()
     more = materialize(similar(rest, sets, similarity), "more_links")
+    discard(met_at, labelled, unsized, open_, fronts, sets)
     if not more.isEmpty():
         roots = _named(components(links.unionByName(more)))
     return sketch.join(roots, F.bitwise_not(sketch.text_hash) == roots.nn, "left").select("doc_id", "text_hash", F.coalesce("root", "text_hash").alias("root"))
@@ -148,8 +151,8 @@ def all_pairs(few: DataFrame, similarity: float) -> DataFrame:
     return left.join(right, (F.bitwise_not(left.key) == right.nk) & may).select("a", "b").distinct()
 
 
-def first_shared(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """a, b: the pairs of open_(key, text_hash, n, root) with one key and different roots that may be similar, as their first shared shingle says."""
+def front_shingles(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The rows of open_(key, text_hash, n, root) with keys, other (than the bucket's largest class), front (the first shingles), and each of these (at, shingle)."""
     seeds = [F.max(F.struct(F.xxhash64("text_hash", F.lit(i)).alias("r"), "text_hash")).alias(f"s{i}") for i in range(4)]
     some = open_.groupBy("key").agg(*seeds).select("key", F.explode(F.array_distinct(F.array(*[F.col(f"s{i}.text_hash") for i in range(4)]))).alias("id"))
     common = some.join(sets, "id").groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("common")).select(F.bitwise_not("key").alias("nk"), "common")  # of four members
@@ -161,7 +164,11 @@ def first_shared(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     needed = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("n") + F.greatest(F.lit(similarity) * F.col("n"), F.col("least"))) - 1e-6)
     length = (F.col("n") - needed + 1).cast("int")
     rows = rows.select("key", "text_hash", "n", "root", "keys", (F.col("root") != F.col("main")).alias("other"), F.slice(ordered, F.lit(1), length).alias("front"))
-    rows = materialize(rows.select("*", F.posexplode("front").alias("at", "shingle")), "first_shingles")
+    return materialize(rows.select("*", F.posexplode("front").alias("at", "shingle")), "front_shingles")
+
+
+def first_shared(rows: DataFrame, similarity: float) -> DataFrame:
+    """a, b: the pairs of front_shingles() with one key and different roots that may be similar, as their first shared shingle says."""
     #: One side of a pair of two classes is outside of the bucket's largest class.
     left = rows.filter("other").select("key", "shingle", F.struct("text_hash", "n", "root", "at", "front", "keys").alias("x"))
     right = rows.select(F.bitwise_not("key").alias("nk"), F.bitwise_not("shingle").alias("ns"), F.struct("text_hash", "n", "root", "at", "front", "keys", "other").alias("y"))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import batch, bounded_batches, materialize, tidy
+from palimpsest.llm.common import batch, bounded_batches, discard, materialize, tidy
 
 SEED = 42
 WIDTH = 3
@@ -263,7 +263,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = _least_neighbour(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         lower = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         small = _least_neighbour(lower)
-        stars = materialize(small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(small.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct(), "stars")
+        last, stars = stars, materialize(small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(small.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct(), "stars")
+        discard(last)
         state = of(stars)
         if state == before:
             return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
