@@ -27,6 +27,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,12 +36,12 @@ from palimpsest.llm.common import batch, bounded_batches, filesystem, materializ
 END_ID = 0
 #: Ids in a block before it is closed.
 BLOCK_IDS = 1 << 20
-#: Distinct pieces in each of the two generations that a worker keeps, and the longest one kept.
-CACHE_PIECES = 300_000
+#: Distinct pieces that a worker keeps, and the longest one kept.
+CACHE_PIECES = 500_000
 CACHED_BYTES = 64
 #: Bytes of text that are cut into pieces at a time (or one text), and pieces that are encoded at a time.
 SLICE_BYTES = 4 << 20
-_AT_ONCE = 4096
+_AT_ONCE = 256
 _simple = re.compile(r"[ \n]?\S+").fullmatch
 MAGIC = b"PTK1"
 _HEAD = struct.Struct("<4s5I")
@@ -168,9 +169,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(json)
         self.kind = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        #: Two generations: pieces of the one before are taken over when they are met again.
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.width = np.dtype(self.kind).itemsize
+        #: The cache: pieces, where the ids of each begin and how many they are, the ids, and which pieces were met since the last clearing.
+        self.keys = pa.array([], pa.binary())
+        self.first, self.size, self.ids, self.met = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind), np.zeros(0, bool)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         #: Whether an id's token begins with a space (as byte-level tokens write it); the token of a newline on its own.
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -187,14 +189,10 @@ class Encoder:
         """ids cut where first says that a piece begins; skip: ids to leave out at each beginning."""
         if len(first) != count:
             raise ValueError("this tokenizer does not cut words at white space")
-        width, data = self.tokenizer_width, ids.tobytes()
+        width, data = self.width, ids.tobytes()
         edges = (first * width).tolist() + [len(data)]
         return [data[i + skip * width : j] for i, j in zip(edges, edges[1:])]
 
-    @property
-    def tokenizer_width(self) -> int:
-        return np.dtype(self.kind).itemsize
-
     def _solve(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of distinct pieces, as bytes. Those with white space only in front are encoded many at a time, in one text, which the pre-tokenizer cuts at it."""
         out: list[bytes] = [b""] * len(pieces)
@@ -218,26 +216,39 @@ class Encoder:
                     out[i] = x
         return out
 
-    def _look_up(self, pieces: list[bytes]) -> list[bytes]:
-        young, old = self.young, self.old
-        found = list(map(young.get, pieces))
-        missing = [i for i, x in enumerate(found) if x is None]
-        if missing:
-            if len(young) + len(missing) > CACHE_PIECES:
-                self.old = old = young
-                self.young = young = {}
-            lost = []
-            for i in missing:
-                x = old.get(pieces[i])
-                if x is None:
-                    lost.append(i)
-                else:
-                    found[i] = young[pieces[i]] = x
-            for i, x in zip(lost, self._solve([pieces[i] for i in lost])):
-                found[i] = x
-                if len(pieces[i]) <= CACHED_BYTES:
-                    young[pieces[i]] = x
-        return found
+    def _clear(self) -> None:
+        """Keep what was met lately, half of the room at most."""
+        keep = np.flatnonzero(self.met)[-(CACHE_PIECES // 2) :]
+        size = self.size[keep]
+        ends = np.cumsum(size)
+        source = np.repeat(self.first[keep] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+        self.keys, self.ids, self.first, self.size, self.met = self.keys.take(pa.array(keep)), self.ids[source], ends - size, size, np.zeros(len(keep), bool)
+
+    def _look_up(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pieces' ids: a pool of ids, and where those of each piece begin in it and how many they are."""
+        if len(self.keys) > CACHE_PIECES:
+            self._clear()
+        found = pc.index_in(pieces, value_set=self.keys)
+        known = found.is_valid().to_numpy(zero_copy_only=False)
+        at = found.drop_null().to_numpy()
+        self.met[at] = True
+        first, size = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        first[known], size[known] = self.first[at], self.size[at]
+        missing = pieces.filter(pa.array(~known))
+        solved = self._solve(missing.to_pylist())
+        sizes = np.fromiter(map(len, solved), np.int64, len(solved)) // self.width
+        new = np.frombuffer(b"".join(solved), self.kind)
+        starts = np.cumsum(sizes) - sizes
+        pool = np.concatenate((self.ids, new))
+        first[~known], size[~known] = len(self.ids) + starts, sizes
+        short = np.diff(np.frombuffer(missing.buffers()[1], np.int32, len(missing) + 1, missing.offset * 4)) <= CACHED_BYTES if len(missing) else np.zeros(0, bool)
+        self.keys = pa.concat_arrays([self.keys, missing.filter(pa.array(short))])
+        self.first, self.size, self.met = np.append(self.first, first[~known][short]), np.append(self.size, sizes[short]), np.append(self.met, np.ones(int(short.sum()), bool))
+        kept = pool if short.all() else np.concatenate((self.ids, new[np.repeat(short, sizes)]))
+        if not short.all():
+            self.first[len(self.first) - int(short.sum()) :] = len(self.ids) + np.cumsum(sizes[short]) - sizes[short]
+        self.ids = kept
+        return pool, first, size
 
     def encode_flat(self, data: np.ndarray, starts: np.ndarray, end: bytes) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts of data (those that begin at starts; an empty one begins where the next does), each followed by end, and their number for each text."""
@@ -247,18 +258,18 @@ class Encoder:
         at = piece_starts(data, begun) if n else np.zeros(0, np.int64)
         cuts = pa.py_buffer(np.append(at, n).astype(np.int32))
         pieces = pa.Array.from_buffers(pa.binary(), len(at), [None, cuts, pa.py_buffer(data)]).dictionary_encode()
-        known = [*self._look_up(pieces.dictionary.to_pylist()), end]
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // self.tokenizer_width
-        pool = np.frombuffer(b"".join(known), self.kind)
+        pool, first, sizes = self._look_up(pieces.dictionary)
+        tail = np.frombuffer(end, self.kind)
+        first, sizes, pool = np.append(first, len(pool)), np.append(sizes, len(tail)), np.concatenate((pool, tail))
         #: The pieces' numbers with that of ``end`` after each text's.
         last = np.searchsorted(at, full[1:]) + np.arange(docs)
-        code = np.full(len(at) + docs, len(known) - 1, np.int32)
+        code = np.full(len(at) + docs, len(first) - 1, np.int32)
         own = np.ones(len(code), bool)
         own[last] = False
         code[own] = pieces.indices.to_numpy(zero_copy_only=False)
         size = sizes[code]
         ends = np.cumsum(size)
-        source = np.repeat((np.cumsum(sizes) - sizes)[code] - (ends - size), size)
+        source = np.repeat(first[code] - (ends - size), size)
         source += np.arange(len(source))
         return pool[source], np.diff(ends[last], prepend=0)
 
