@@ -11,12 +11,43 @@ WIDEST = 50_000
 MIB = 1 << 20
 
 
-def percentile_by_index(df: DataFrame, value: str, points: list[float], *by: str) -> DataFrame:
-    """The sorted value at index ceil((n - 1) * p): by rank in a distributed sort, so no group is collected."""
+#: Ranges into which the values of a group are dealt to find a rank; one range for each point is sorted.
+RANGES = 256
+
+
+def _on(by: tuple[str, ...], left: DataFrame, right: DataFrame) -> DataFrame:
+    """left with the row of right for its group (a null is a group too). right has a row for each group, or a few."""
+    if not by:
+        return left.crossJoin(F.broadcast(right))
+    named = right.withColumnsRenamed({c: f"_k{i}" for i, c in enumerate(by)})
+    same = [left[c].eqNullSafe(named[f"_k{i}"]) for i, c in enumerate(by)]
+    return left.join(named, same).drop(*[f"_k{i}" for i in range(len(by))])
+
+
+def values_at(df: DataFrame, value: str, indexes, *by: str) -> DataFrame:
+    """by, i0, i1 ...: the values at some places of each group's sorted values. indexes: the places, from 0, as functions of the number of values.
+
+    No group is sorted as a whole: approximate quantiles deal its values into RANGES ranges, the counts of the ranges say in which a place is, and only those ranges are ranked.
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    cuts = rows.groupBy(*by).agg(F.percentile_approx(F.col("_v").cast("double"), [i / RANGES for i in range(1, RANGES)], 10_000).alias("_cuts"))
+    dealt = _on(by, rows, cuts).withColumn("_r", F.size(F.filter("_cuts", lambda c: c < F.col("_v").cast("double")))).drop("_cuts")
+    sizes = dealt.groupBy(*by, "_r").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*by)
-    rows = df.filter(F.col(value).isNotNull()).select(*by, value).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    at = lambda p: F.max(F.when(F.col("_i") == F.ceil((F.col("_n") - 1) * p), F.col(value)))
-    return rows.groupBy(*by).agg(*[at(p).alias(f"p{round(p * 100)}") for p in points])
+    sizes = sizes.withColumn("_end", F.sum("_n").over(w.orderBy("_r"))).withColumn("_total", F.sum("_n").over(w))  # RANGES rows of a group
+    places = F.array(*[f(F.col("_total")).cast("long") for f in indexes])
+    wanted = sizes.select(*by, F.col("_r").alias("_wr"), (F.col("_end") - F.col("_n")).alias("_begin"), F.filter(F.transform(places, lambda at, k: F.struct(k.alias("k"), at.alias("at"))), lambda x: (x["at"] >= F.col("_end") - F.col("_n")) & (x["at"] < F.col("_end"))).alias("_places"))
+    wanted = wanted.filter(F.size("_places") > 0)
+    found = _on(by, dealt, wanted).filter("_r = _wr")
+    found = found.withColumn("_i", F.col("_begin") + F.row_number().over(Window.partitionBy(*by, "_r").orderBy("_v")) - 1)
+    hits = found.select(*by, "_v", F.explode(F.filter("_places", lambda x: x["at"] == F.col("_i"))).alias("_x"))
+    return hits.groupBy(*by).agg(*[F.max(F.when(F.col("_x.k") == k, F.col("_v"))).alias(f"i{k}") for k in range(len(indexes))])
+
+
+def percentile_by_index(df: DataFrame, value: str, points: list[float], *by: str) -> DataFrame:
+    """The sorted value at index ceil((n - 1) * p), for numeric values."""
+    found = values_at(df, value, [lambda n, p=p: F.ceil((n - 1) * p) for p in points], *by)
+    return found.select(*by, *[F.col(f"i{k}").alias(f"p{round(p * 100)}") for k, p in enumerate(points)])
 
 
 def nearest_rank(value: str, p: float) -> Column:
@@ -72,10 +103,15 @@ def trend(slope: Column, r2: Column, growth: Column, baseline: Column) -> Column
 
 
 def halves(df: DataFrame, order: str, *by: str) -> DataFrame:
-    """df with half 1 or 2, split at max(1, n div 2)."""
-    w = Window.partitionBy(*by)
-    n = F.count("*").over(w)
-    return df.withColumn("half", F.when(F.row_number().over(w.orderBy(order)) <= F.greatest(F.lit(1), F.floor(n / 2)), 1).otherwise(2))
+    """df with half 1 or 2, split at max(1, n div 2) in the order of a numeric column; rows of a group that are equal in it and stand on the split are dealt in any order."""
+    first = lambda n: F.greatest(F.lit(1), F.floor(n / 2))
+    cut = values_at(df, order, [lambda n: first(n) - 1], *by).withColumnRenamed("i0", "_cut")
+    rows = _on(by, df, cut)
+    at = F.col(order)
+    counts = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.count_if(at < F.col("_cut")).alias("_less"))
+    rows = _on(by, rows, counts)
+    tie = F.row_number().over(Window.partitionBy(*by, order).orderBy(order))
+    return rows.withColumn("half", F.when(at < F.col("_cut"), 1).when(at > F.col("_cut"), 2).when(tie <= first(F.col("_n")) - F.col("_less"), 1).otherwise(2)).drop("_cut", "_n", "_less")
 
 
 def drift(df: DataFrame, value: str, order: str, *by: str) -> DataFrame:
@@ -98,7 +134,7 @@ def tumbling(df: DataFrame, seconds: Column, size: int, value: str, *by: str, co
 
 
 def rolling_median(df: DataFrame, value: str, order: str, *by: str, size: int = 60) -> DataFrame:
-    """The nearest-rank median of the last ``size`` rows, full frames only."""
+    """The nearest-rank median of the last ``size`` rows, full frames only. A series is ordered in one task: deal long ones into parts that overlap by ``size`` rows."""
     w = Window.partitionBy(*by).orderBy(order)
     frame = F.array_sort(F.collect_list(value).over(w.rowsBetween(-size + 1, 0)))
     rows = df.withColumn("_n", F.row_number().over(w)).withColumn("median", F.get(frame, F.lit(-(-size // 2) - 1)))
