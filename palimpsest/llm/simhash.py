@@ -107,10 +107,12 @@ class GrayIndex:
             low, high = np.bitwise_and.reduceat(value, starts), np.bitwise_or.reduceat(value, starts)
             shared = np.bitwise_and.reduceat(mask, starts) & ~(low ^ high)
             self.levels.append((low & shared, shared, sp[starts], np.append(starts, len(sp))))
+        self.visited = [0] * len(self.levels)
 
     def search(self, queries: np.ndarray, roots: np.ndarray, radius: int):
-        """Indexes of queries and of the sorted fingerprints that they meet; roots: the number of each query's space."""
+        """Indexes of queries and of the sorted fingerprints that they meet; roots: the number of each query's space. Adds to ``visited``, the nodes that were looked at by level."""
         value, mask, _, _ = self.levels[-1]
+        self.visited[-1] += len(queries)
         q, node = np.arange(len(queries)), roots
         seen = mask[node]
         far = np.bitwise_count((queries ^ value[node]) & seen).astype(np.int64)
@@ -125,6 +127,7 @@ class GrayIndex:
             value, mask, _, _ = self.levels[depth - 1]
             far = far[at] + np.bitwise_count((queries[q[at]] ^ value[below]) & mask[below] & ~parent_mask[at])
             q, node = q[at], below
+            self.visited[depth - 1] += len(node)
         near = far <= radius
         return q[near], node[near]
 

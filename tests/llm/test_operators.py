@@ -75,6 +75,16 @@ def test_index_finds_all_neighbours(fanout):
     assert got == want
 
 
+def test_index_prunes_whole_groups():
+    """In a space as the segments make it (21 bits fixed), the tree is several levels deep, and the more leaves it has, the smaller is the share that is looked at."""
+    r = np.random.default_rng(4)
+    for size, share in ((64, 0.95), (1024, 0.3), (8192, 0.1)):
+        fps = np.unique((np.uint64(0x15555) << np.uint64(43)) | r.integers(0, 1 << 43, size, np.uint64))
+        index = simhash.GrayIndex(fps, np.zeros(len(fps), int))
+        index.search(index.fps, np.zeros(len(fps), int), 2)
+        assert len(index.levels) >= 3 and index.visited[0] <= share * len(fps) ** 2, (size, index.visited)
+
+
 def brute_components(pairs, radius=2):
     ids = [i for i, _ in pairs]
     root = {i: i for i in ids}
