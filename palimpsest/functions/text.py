@@ -13,6 +13,8 @@ STOP_WORDS = "a an and are as at be but by for from has have i in is it its my o
 TOKEN = r"[\p{L}\p{N}_]+(?:['-][\p{L}\p{N}_]+)*"
 #: A word of the span model's splitter: word characters with - or _ between them, or one other character.
 MODEL_WORD = r"[\p{L}\p{N}_]+(?:[-_][\p{L}\p{N}_]+)*|\S"
+#: A boundary of an ASCII word, for patterns that are matched on bytes; Java's \b takes other letters for parts of words too.
+ASCII_BOUNDARY = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
 LANGUAGES = ("en", "es", "fr", "de", "pt", "it", "unknown")
 
 

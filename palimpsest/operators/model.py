@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.numbers import sigmoid, softmax
 from palimpsest.functions.spans import let
-from palimpsest.functions.text import byte_slice, grapheme_to_byte, tokens
+from palimpsest.functions.text import ASCII_BOUNDARY, byte_slice, grapheme_to_byte, tokens
 
 #: Words that an organisation or a place may end in.
 SUFFIXES = {"organization": "bank corp corporation hospital inc llc ltd university".split(), "location": "airport center centre hospital station university".split()}
@@ -23,9 +23,14 @@ def base_label(label: Column) -> Column:
     return F.regexp_replace(label, "^[BIESLU]-", "")
 
 
+def _holds(text: Column, pattern: str) -> Column:
+    """Whether a pattern with boundaries of ASCII words occurs."""
+    return text.rlike(pattern.replace(r"\b", ASCII_BOUNDARY))
+
+
 def location_gate(text: Column) -> Column:
     """Why a location model should run on a text, or no_location_signal."""
-    return F.when(text.rlike(STRONG_LOCATION), "location_context").when(text.rlike(COMMA_CAPITALIZED), "comma_capitalized_phrase").when(text.rlike(STREET_NUMBER), "street_number").otherwise("no_location_signal")
+    return F.when(_holds(text, STRONG_LOCATION), "location_context").when(_holds(text, COMMA_CAPITALIZED), "comma_capitalized_phrase").when(_holds(text, STREET_NUMBER), "street_number").otherwise("no_location_signal")
 
 
 def gate_summary(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -305,7 +310,7 @@ def cascade(docs: DataFrame, primary: DataFrame, secondary_spans: DataFrame, tri
     state = docs.select(key, "text").join(have, key, "left")
     wanted = {"never": F.lit(False), "always": F.lit(True), "missing": F.col("_top").isNull(), "missing_or_uncertain": F.col("_top").isNull() | (F.col("_top") < uncertain)}[trigger]
     if policy != "none":
-        context = F.col("text").rlike(STRONG_LOCATION)
+        context = _holds(F.col("text"), STRONG_LOCATION)
         wanted = wanted & (context if policy == "strong" else context | F.col("_top").isNotNull())
     extra = secondary_spans.join(state.filter(wanted).select(key), key, "left_semi").withColumn("role", F.lit("secondary"))
     both = primary.withColumn("role", F.lit("primary")).unionByName(extra, allowMissingColumns=True)

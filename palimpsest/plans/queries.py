@@ -149,9 +149,12 @@ def p17_language(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(X.language(F.col("lang")).alias("language")).agg(F.count("*").alias("n"))
 
 
-@query()
+_GATE_SQL = " ".join("WHEN regexp_matches(text, '" + p.replace("'", "''") + f"') THEN '{reason}'" for p, reason in ((M.STRONG_LOCATION, "location_context"), (M.COMMA_CAPITALIZED, "comma_capitalized_phrase"), (M.STREET_NUMBER, "street_number")))
+
+
+@query(f"SELECT CASE {_GATE_SQL} ELSE 'no_location_signal' END AS reason, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM documents GROUP BY 1")
 def p19_location_gate(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(M.location_gate(F.col("text")).alias("reason")).agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "documents").groupBy(M.location_gate(F.col("text")).alias("reason")).agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
 
 @query("SELECT page_id, len(list_filter(string_split(h, '.'), lambda x: x = '' OR strlen(x) > 63 OR starts_with(x, '-') OR ends_with(x, '-'))) = 0 AND len(string_split(h, '.')) >= 2 AND regexp_full_match(string_split(h, '.')[-1], '[A-Za-z]{2,63}') AS valid FROM (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS h FROM pages)")
