@@ -285,13 +285,24 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, limit
 
 
 def first_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
-    """One row of docs for each root of grouped(doc_id, text_hash, root)."""
+    """One row of docs for each root of grouped(doc_id, text_hash, root).
+
+    The texts are dealt once, for the join. Only rows that repeat an id and a text are numbered, if there are any: first in parts, then the first of each part, so that no task holds all rows of a text.
+    """
+    key = ["id", "none", "hash"]
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     first = grouped.groupBy("root").agg(F.min(order).alias("x"))
     first = first.select(F.coalesce("x.doc_id", F.lit(0)).alias("id"), F.col("x.none").alias("none"), F.col("x.text_hash").alias("hash"))
+    named = grouped.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), F.col("text_hash").alias("hash"))
+    repeated = materialize(named.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").join(first, key, "left_semi").select(*key), "repeated_rows")
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), F.xxhash64("text").alias("hash"))
-    one = F.row_number().over(Window.partitionBy("id", "none", "hash").orderBy("id"))  # by the join's keys: the text is dealt once
-    return rows.join(first, ["id", "none", "hash"], "left_semi").withColumn("n", one).filter("n = 1").select("row.*")
+    kept = rows.join(first, key, "left_semi")
+    if repeated.isEmpty():
+        return kept.select("row.*")
+    many = rows.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(64))).join(repeated, key, "left_semi")
+    one = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("part"))
+    many = many.withColumn("n", one("part", *key)).filter("n = 1").withColumn("n", one(*key)).filter("n = 1")
+    return kept.join(repeated, key, "left_anti").select("row.*").unionByName(many.select("row.*"))
 
 
 def _grouped(docs: DataFrame, width: int, radius: int, limit: int) -> DataFrame:
