@@ -191,7 +191,7 @@ def anonymize(docs: DataFrame, operators: Operators | None = None, conflict_stra
     if strict:
         good = F.when(F.exists(spans, invalid), F.raise_error(F.lit("invalid_span"))).otherwise(F.col(spans))
     chosen = merge_whitespace(value, good) if merge_ws else good
-    rows = docs.withColumn("_chosen", conflict.resolve(chosen, conflict_strategy))
+    rows = docs.withColumn("_chosen", F.when(F.size(spans) > 0, conflict.resolve(chosen, conflict_strategy)))
     custom_entities = {e: c for e, c in table.items() if c["type"] == "custom"}
     if custom_entities:
         raise OperatorError("invalid_operator", "custom: use anonymize_custom")
@@ -212,6 +212,15 @@ def anonymize(docs: DataFrame, operators: Operators | None = None, conflict_stra
     return rows.withColumn("anonymized", text_).withColumn("items", items).drop("_chosen", "_new", "_bytes")
 
 
+def exploded(done: DataFrame, *keep: str) -> DataFrame:
+    """keep and i: a row for each item of ``anonymize``.
+
+    From ``explode`` the optimizer infers a filter on the size of the items and moves it below the steps that make them. There each step is written out in all places
+    that use it: a text is scanned dozens of times, and encoded again for each span. From ``explode_outer`` it infers none.
+    """
+    return done.select(*keep, F.explode_outer("items").alias("i")).filter(F.col("i").isNotNull())
+
+
 def anonymize_custom(docs: DataFrame, function, options: dict | None = None, key: str = "doc_id", text: str = "text", spans: str = "spans") -> DataFrame:
     """key, anonymized: every span replaced by a Python function, called on batches of values."""
     value = F.col(text)

@@ -57,7 +57,7 @@ def f09_length_buckets(spark, sf_dir):
 def o03_replace(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("spans", emails())
     done = A.anonymize(docs, A.Operators({"email": {"type": "replace", "value": "[MAIL]"}}))
-    return done.select("doc_id", F.explode("items").alias("i")).select("doc_id", "i.replacement", "i.source_byte_start")
+    return A.exploded(done, "doc_id").select("doc_id", "i.replacement", "i.source_byte_start")
 
 
 @query(f"WITH {spans_sql(EMAIL_SQL)} SELECT DISTINCT value, true AS known FROM s")

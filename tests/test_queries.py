@@ -32,6 +32,21 @@ def test_query_equals_sql(spark, con, name):
     assert got == sorted(map(repr, con.sql(f"SELECT {listed} FROM ({Q.SQL[name]})").fetchall()))
 
 
+@pytest.mark.parametrize("name", ["o03_replace"])
+def test_items_are_made_once(spark, tmp_path, name):
+    """Nothing that a row of an item needs is written out, and run, in several places of the plan; rows of texts with no, one and many spans are those of the SQL."""
+    texts = ["a@b.co, é <c.d+e@f-g.example.org>", "", None, "no address, but an @", "no sign", " ".join(f"ü{k} u{k}@host{k % 7}.net" for k in range(500)), "x@y.com"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = Q.QUERIES[name](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1
+    listed = ", ".join(df.columns)
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.sql(f"SELECT {listed} FROM ({Q.SQL[name]})").fetchall()
+    assert len(want) == 503 and sorted(map(tuple, df.collect())) == sorted(want)
+
+
 def test_registry_without_llm(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = "import sys; sys.modules['palimpsest.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'o13_redact_email' in e.queries() and not [n for n in e.queries() if n.startswith('op') or n == 'pipeline']; e.oracle_sql()"
