@@ -228,7 +228,7 @@ def o13_redact_email(spark, sf_dir):
 @query(f"WITH {spans_sql(EMAIL_SQL)} SELECT doc_id, entity, source_byte_start, replacement FROM (SELECT doc_id, 'email' AS entity, byte_start::INT AS source_byte_start, '' AS replacement FROM s)")
 def o04_redact_items(spark, sf_dir):
     done = A.anonymize(with_emails(spark, sf_dir), A.Operators({"email": {"type": "redact"}}))
-    return done.select("doc_id", F.explode("items").alias("i")).select("doc_id", "i.entity", "i.source_byte_start", "i.replacement")
+    return A.exploded(done, "doc_id").select("doc_id", "i.entity", "i.source_byte_start", "i.replacement")
 
 
 @query(f"WITH {spans_sql(EMAIL_SQL)} SELECT doc_id, value, repeat('*', greatest(length(value) - 4, 0)) || right(value, 4) AS masked FROM s")

@@ -32,7 +32,7 @@ def test_query_equals_sql(spark, con, name):
     assert got == sorted(map(repr, con.sql(f"SELECT {listed} FROM ({Q.SQL[name]})").fetchall()))
 
 
-@pytest.mark.parametrize("name", ["o03_replace"])
+@pytest.mark.parametrize("name", ["o03_replace", "o04_redact_items"])
 def test_items_are_made_once(spark, tmp_path, name):
     """Nothing that a row of an item needs is written out, and run, in several places of the plan; rows of texts with no, one and many spans are those of the SQL."""
     texts = ["a@b.co, é <c.d+e@f-g.example.org>", "", None, "no address, but an @", "no sign", " ".join(f"ü{k} u{k}@host{k % 7}.net" for k in range(500)), "x@y.com"]
